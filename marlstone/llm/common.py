@@ -21,9 +21,14 @@ def lower_ascii(text: str) -> str:
     return text.translate(_LOWER_TABLE) if not text.isascii() else text.lower()
 
 
+def lower_column(text: Column) -> Column:
+    """A-Z lower-cased and nothing else. lower() is the faster of the two and does just that to ASCII texts."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def words_column(text: Column) -> Column:
     """Words of a text column; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lower_column(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 #: By byte: 1 if it belongs to a word once A-Z are lower-cased (every byte of a non-ASCII character does).

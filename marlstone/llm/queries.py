@@ -36,9 +36,33 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(ids, ranks).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.decontaminate import find_hits
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_hits(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_decontamination": op6_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_SQL_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
+        starts AS (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0),
+        wins AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS id, least(len(w), 10) AS n, array_to_string(w[s : s + 9], ' ') AS win FROM starts),
+        sizes AS (SELECT DISTINCT n FROM wins),
+        scan AS (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n),
+        hits AS (SELECT rid, s, scan.n, id FROM scan JOIN wins ON scan.n = wins.n AND array_to_string(w[s : s + scan.n - 1], ' ') = win),
+        spots AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(s, s + n - 1)) AS p FROM hits) GROUP BY rid),
+        items AS (SELECT rid, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hits GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN spots USING (rid) LEFT JOIN items USING (rid)""",
+}
