@@ -36,6 +36,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(ids, ranks).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm import warc
+    from marlstone.llm.common import shared_dir
+
+    path = shared_dir(spark, "warc")
+    index = warc.write(warc.plan_records(_table(spark, sf_dir, "pages")), path)
+    return warc.read(index, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.decontaminate import find_hits
 
@@ -47,12 +56,19 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_warc": op4_warc,
     "op6_decontamination": op6_decontamination,
 }
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        r AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM r WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM r LEFT JOIN f USING (payload_digest)""",
     "op6_decontamination": f"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_SQL_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
