@@ -53,11 +53,26 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.topk import quantise, top_k
+
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", quantise(F.col("embedding")).alias("v"))
+    return top_k(rows.filter(F.col("vec_id") % 20 == 0), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
     "op6_decontamination": op6_decontamination,
+    "op7_license_scan": op7_license_scan,
+    "op9_topk": op9_topk,
 }
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -81,4 +96,10 @@ ORACLE_SQL: dict[str, str] = {
         items AS (SELECT rid, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hits GROUP BY rid)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN spots USING (rid) LEFT JOIN items USING (rid)""",
+    "op9_topk": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 20""",
 }
