@@ -52,6 +52,8 @@ class Lists:
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         order = np.argsort(ids, kind="stable")  # a smaller row is a smaller id: ties go by row
         self.ids, self.matrix = ids[order], np.ascontiguousarray(matrix[order])
+        small = not self.matrix.size or np.abs(self.matrix).max() < 1 << 20
+        self.exact = self.matrix.astype(np.float64) if small and self.matrix.shape[1] < 4096 else None  # sums below 2^53 are exact
         self.rows = np.ascontiguousarray(np.argsort(self.matrix, axis=0, kind="stable").T)
         self.values = np.ascontiguousarray(np.take_along_axis(self.matrix, self.rows.T, 0).T)
 
@@ -66,34 +68,35 @@ class Lists:
         worst = int(sum(query[j] * (self.values[j, 0] if up[j] else self.values[j, -1]) for j in dims))
         for part in DEPTHS:
             depth = int(n * part)
-            shown, known, limit = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-            floor = np.zeros(n, np.int64)
+            lower, upper, limit = np.full(n, worst, np.int64), np.zeros(n, np.int64), 0
             for j in dims:
                 q = int(query[j])
-                if up[j]:
-                    rows, values, front, bad = self.rows[j, n - depth :], self.values[j, n - depth :], int(self.values[j, n - depth]), int(self.values[j, 0])
-                else:
-                    rows, values, front, bad = self.rows[j, :depth], self.values[j, :depth], int(self.values[j, depth - 1]), int(self.values[j, -1])
-                shown[rows] += q * values
-                known[rows] += q * front
-                floor[rows] += q * bad
+                rows, values = (self.rows[j, n - depth :], self.values[j, n - depth :]) if up[j] else (self.rows[j, :depth], self.values[j, :depth])
+                front, bad = (int(values[0]), int(self.values[j, 0])) if up[j] else (int(values[-1]), int(self.values[j, -1]))
+                shown = q * values
+                lower[rows] += shown - q * bad
+                upper[rows] += shown - q * front
                 limit += q * front
-            lower = shown + (worst - floor)
-            upper = shown + (limit - known)
-            best = lower[active]
-            bar = int(np.partition(best, len(best) - k)[len(best) - k]) if len(best) >= k else None
+            best, had = lower[active], len(active)
+            bar = int(np.partition(best, had - k)[had - k]) if had >= k else None
             if least is not None:
                 bar = least if bar is None else max(bar, least)
             if bar is not None:
-                active = active[upper[active] >= bar]
-                if len(active) <= max(4 * k, n // 8):
-                    break
+                active = active[upper[active] + limit >= bar]
+            if len(active) <= max(4 * k, n // 8) or len(active) > 0.99 * had:
+                break  # few are left, or the lists don't tell candidates apart: resolving is cheaper than reading on
         return active
 
     def best(self, query: np.ndarray, k: int, least: int | None, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, ties to the smaller id; scores below `least` may be left out."""
         rows = self.candidates(query, k, least, own)
-        scores = self.matrix[rows] @ query
+        if self.exact is None or np.abs(query).max(initial=0) >= 1 << 20 or len(rows) * 2 < len(self.ids):
+            scores = self.matrix[rows] @ query
+        else:
+            scores = (self.exact @ query.astype(np.float64)).astype(np.int64)[rows]
+        if len(rows) > k:  # none below the k-th score is in the result
+            some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+            rows, scores = rows[some], scores[some]
         top = np.lexsort((rows, -scores))[:k]
         return self.ids[rows[top]], scores[top]
 
