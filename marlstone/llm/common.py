@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 #: Words of a text: runs of digits, lower-case ASCII letters and non-ASCII characters, after lower-casing A-Z only.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LOWER_TABLE = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
+_LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def lower_ascii(text: str) -> str:
-    return text.translate(_LOWER_TABLE) if not text.isascii() else text.lower()
+    """A-Z lower-cased and nothing else."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").translate(_LOWER_TABLE).decode("utf-8", "surrogatepass")
 
 
 def lower_column(text: Column) -> Column:

@@ -66,6 +66,22 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows.filter(F.col("vec_id") % 20 == 0), rows)
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """A model that has learned from the labels of rows whose crc32 modulo 3 isn't 1."""
+    from marlstone.llm.toxicity import train
+
+    labels = _table(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    return train(docs, labels)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.toxicity import score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return score(docs, toxicity_model(spark, docs, sf_dir)).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
@@ -73,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
     "op9_topk": op9_topk,
+    "op10_toxicity": op10_toxicity,
 }
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
