@@ -18,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.ngram_join import join
+
+    return join(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.token_counts import count_tokens
 
@@ -83,6 +89,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
@@ -95,6 +102,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS sh FROM d),
+        k AS (SELECT sh, min(doc_id) AS rep, count(*) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+        u AS (SELECT rep, len(sh) AS n, unnest(sh) AS g FROM k),
+        p AS (SELECT a.rep AS x, b.rep AS y FROM u a JOIN u b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+        r AS (SELECT rep AS node, rep AS root FROM k UNION SELECT p.y, r.root FROM r JOIN p ON p.x = r.node),
+        g AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+        l AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
+        SELECT s.doc_id, coalesce(g.class_id, s.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links, coalesce(k.n, 1) AS n_copies
+        FROM s LEFT JOIN k ON k.sh = s.sh LEFT JOIN g ON g.node = k.rep LEFT JOIN l ON l.x = k.rep""",
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         r AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
