@@ -65,6 +65,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.ngram_lm import held_out, score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    return score(docs, train(docs.filter(~F.col("held_out")))).drop("text")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.topk import quantise, top_k
 
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
+    "op8_lm_scores": op8_lm_scores,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
 }
