@@ -28,7 +28,7 @@ from marlstone.llm.common import kept, lower_ascii, small_batches, texts, with_a
 #: Letters of a subsequence are within SPAN letters; each letter of the span counts DECAY.
 SPAN, DECAY = 5, 0.7
 #: Labelled documents that the model is fitted on: at most so many of each label, and of each at most those of so many bytes in all.
-MOST_DOCS, MOST_BYTES = 3000, 16 << 20
+MOST_DOCS, MOST_BYTES = 1500, 5 << 20
 #: Landmarks of toxic documents and of clean ones at most; lengths of the pieces; how many landmarks each toxic document should have.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, LENGTHS, COVER = 128, 32, (7, 6, 5, 4), 3
 #: A word whose kernel value with every landmark is less than this part of the landmark's own counts as sharing nothing.
@@ -239,7 +239,8 @@ def fit(docs: list[str], toxic: list[int], rounds: int = 3) -> Model:
     if not len(y) or abs(y.sum()) == len(y):
         share = (sum(1 for t in toxic if t) + 1) / (len(toxic) + 2)
         return Model(Landmarks(["none"]), np.zeros(1, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    split = [[words(s) for s in sentences(t)] for t in docs]
+    pool: dict[str, str] = {}  # equal words are one object
+    split = [[[pool.setdefault(w, w) for w in words(s)] for s in sentences(t)] for t in docs]
     marks = Landmarks(choose_landmarks([{w for s in d for w in map(bare, s) if len(w) > 2} for d in split], y))
     model = Model(marks, np.zeros(len(marks.units), np.float32), 0.0, 1.0, 0.0)
     scorer = Scorer(model)
