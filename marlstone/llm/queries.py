@@ -51,6 +51,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.quotes import link
+
+    rows = link(_table(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", "turn", "position", "thread", "reply_to", "n_quotes", "n_linked", F.octet_length("clean_text").cast("bigint").alias("n_bytes"), F.sha2("clean_text", 256).alias("text_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.decontaminate import find_hits
 
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
+    "op5_quote_links": op5_quote_links,
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_lm_scores": op8_lm_scores,
