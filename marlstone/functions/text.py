@@ -59,7 +59,7 @@ def inline(x: Column) -> Column:
 
 
 def slug(x: Column, default: str = "other") -> Column:
-    s = F.trim(F.lit("-"), F.regexp_replace(F.lower(F.trim(F.coalesce(x, F.lit("")))), "[^a-z0-9]+", "-"))
+    s = F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.when(s == "", F.lit(default)).otherwise(s)
 
 

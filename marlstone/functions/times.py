@@ -12,7 +12,7 @@ _STAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}(:?\d{2
 def parse(x: Column) -> Column:
     """A timestamp in UTC of an ISO date or time; null for anything else. Without an offset a time is UTC."""
     t = F.trim(x)
-    return F.when(t.rlike(_DAY) | t.rlike(_STAMP), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, " ", "T"), r"([+-]\d{2})$", "$1:00")))
+    return F.when(t.rlike(_DAY) | t.rlike(_STAMP), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, " ", "T"), r"(:\d{2}(?:\.\d+)?)([+-]\d{2})$", "$1$2:00")))
 
 
 def iso(ts: Column) -> Column:

@@ -28,14 +28,15 @@ def unit(v: Column) -> Column:
 
 
 def clamp(p: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
+    """From 0 to 1; null stays null."""
+    return F.when(p < 0, F.lit(0.0)).when(p > 1, F.lit(1.0)).otherwise(p)
 
 
 def probability(x: Column) -> Column:
     """A number from 0 to 1 as it is, one up to 100 or with a percent sign by the hundred; null for others."""
     t = F.trim(x.cast("string"))
-    v = F.regexp_replace(t, r"\s*%$", "").try_cast("double")
-    return F.when(t.endswith("%") & v.between(0, 100), v / 100).when(v.between(0, 1), v).when((v > 1) & (v <= 100), v / 100)
+    value = F.regexp_replace(t, r"\s*%$", "").try_cast("double")
+    return let(F.struct(t.endswith("%").alias("percent"), value.alias("v")), lambda r: F.when(r["percent"] & r["v"].between(0, 100), r["v"] / 100).when(r["v"].between(0, 1), r["v"]).when((r["v"] > 1) & (r["v"] <= 100), r["v"] / 100))
 
 
 def stated_probability(text: Column) -> Column:
@@ -53,17 +54,22 @@ def first_object(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def let(x: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
 def json_object(text: Column) -> Column:
     """The JSON object of a text: itself, a fenced block, or what stands between braces; a variant, or null."""
-    parsed = [F.try_parse_json(c) for c in (text, fenced_json(text), first_object(text))]
-    return F.coalesce(*[F.when(F.schema_of_variant(p).startswith("OBJECT"), p) for p in parsed])
+    parsed = [let(F.try_parse_json(c), lambda p: F.when(F.schema_of_variant(p).startswith("OBJECT"), p)) for c in (text, fenced_json(text), first_object(text))]
+    return F.coalesce(*parsed)
 
 
 def forecast_probability(text: Column) -> Column:
     """From the object's keys, else from what the text names."""
-    o = json_object(text)
-    keys = [F.try_variant_get(o, f"$.{k}", "string") for k in ("predicted_prob", "predicted_probability", "probability", "prob_yes")]
-    return clamp(F.coalesce(*[probability(k) for k in keys], stated_probability(text)))
+    named = ("predicted_prob", "predicted_probability", "probability", "prob_yes")
+    stated = let(json_object(text), lambda o: let(F.coalesce(*[F.try_variant_get(o, f"$.{k}", "string") for k in named]), probability))
+    return clamp(F.coalesce(stated, stated_probability(text)))
 
 
 def brier(p: Column, label: Column) -> Column:

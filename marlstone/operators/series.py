@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.storage import written
+
 
 def daily_last(points: DataFrame, key: str, t: str, p: str, pos: str) -> DataFrame:
     """key, day, p: of the points with p from 0 to 1 the last listed (largest pos) of each UTC day."""
@@ -55,7 +57,7 @@ def time_buckets(df: DataFrame, order: list[str], buckets: int, out: str = "buck
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    rows = rows.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33))
+    rows = written(rows.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33)), "order")
     counts = {r._part: r["count"] for r in rows.groupBy("_part").count().collect()}  # a row a partition
     before, total = {}, 0
     for part in sorted(counts):
