@@ -59,6 +59,11 @@ def _processor(model_path: str):
     return _WORKER["sp"]
 
 
+def lengths(sp, words: list[str]) -> list[int]:
+    """Tokens of each pre-token. The empty one is a single space at the end of a text, which the library gives tokens only after something."""
+    return [len(x) if w else len(sp.encode("a ")) - len(sp.encode("a")) for w, x in zip(words, sp.encode(words, num_threads=1), strict=True)]
+
+
 def _cut(counts: Counter, capacity: int) -> Counter:
     """The capacity largest counts, less the largest that goes (the step of Misra and Gries, so that sketches add up)."""
     if len(counts) <= capacity:
@@ -122,7 +127,7 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", limit: int
     hot = None
     if adds:
         words = frequent_pre_tokens(df, text, capacity)
-        sizes = np.array([len(x) for x in _processor(model_path).encode(words)], np.uint8) if words else np.zeros(0, np.uint8)
+        sizes = np.array(lengths(_processor(model_path), words), np.uint8) if words else np.zeros(0, np.uint8)
         hot = spark.sparkContext.broadcast(("\n".join(w.replace("\n", "▁") for w in words), sizes.tobytes()))  # no pre-token holds U+2581
     keep = kept(df, ["n_bytes", "n_tokens", "over_limit"])
     columns = list(dict.fromkeys([*keep, text]))
@@ -139,7 +144,7 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", limit: int
                 split = [pre_tokens(t) for t in whole]
                 new: set[str] = set().union(*split).difference(known) if split else set()
                 misses = list(new)
-                known.update(zip(misses, map(len, sp.encode(misses, num_threads=1)), strict=True))
+                known.update(zip(misses, lengths(sp, misses), strict=True))
                 counts = [sum(map(known.__getitem__, x)) for x in split]
                 if len(known) > cache + len(first):
                     known = dict(first)
