@@ -13,6 +13,7 @@ from marlstone.functions import times as D
 from marlstone.functions import urls as U
 from marlstone.functions import values as V
 from marlstone.operators import evaluate, memory, retrieval, selection, series
+from marlstone.plans import questions
 from marlstone.sources import records
 from marlstone.storage import shared_dir
 from marlstone.streaming import tail
@@ -479,3 +480,27 @@ def failure_classes(spark, sf):
 def near_duplicate_questions(spark, sf):
     p = table(spark, sf, "part").withColumn("k", X.question_key(F.col("p_name")))
     return p.groupBy("k").agg(F.count("*").alias("n")).select(F.col("k").alias("question"), "n", (6.0 * (F.col("n") - 1)).alias("penalty"))
+
+
+def _markets(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("market_id"), F.col("ts").cast("timestamp").alias("t"), (F.col("value") / 500).alias("p"), F.col("event_id").alias("pos"))
+    ids = e.select("market_id").distinct()
+    return ids.select("market_id", F.lit("2024-01-29 00:00:00").cast("timestamp").alias("resolve_ts"), F.lit(1.0).alias("final"), F.concat(F.lit("d"), (F.col("market_id") % 5).cast("string")).alias("domain"), F.concat(F.lit("Will "), F.col("market_id").cast("string"), F.lit(" happen?")).alias("question")), e
+
+
+_SAMPLES = f"""s AS ({_DAILY}), d AS (SELECT *, abs(p - lag(p) OVER (PARTITION BY user_id ORDER BY day)) AS c FROM s),
+    v AS (SELECT user_id, CAST(day AS TIMESTAMP) AS t, p, coalesce(avg(c) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0) AS v FROM d),
+    t AS (SELECT DISTINCT user_id, o, TIMESTAMP '2024-01-29' - o * INTERVAL 1 DAY AS target FROM s, (VALUES (30), (7), (1)) x(o)),
+    g AS (SELECT t.user_id, o, max(CASE WHEN t.target >= v.t THEN {{'t': v.t, 'p': p, 'v': v}} END) AS b, min(CASE WHEN v.t > target AND v.t <= target + least(greatest(o // 4, 1), 7) * INTERVAL 1 DAY THEN {{'t': v.t, 'p': p, 'v': v}} END) AS f FROM t JOIN v ON v.user_id = t.user_id GROUP BY ALL),
+    x AS (SELECT user_id, o, coalesce(b.p, f.p) AS p, coalesce(b.v, f.v) AS v FROM g WHERE b IS NOT NULL OR f IS NOT NULL)"""
+
+
+@query(f"WITH {_SAMPLES} SELECT user_id AS market_id, o || 'd' AS horizon, p AS p_yes, CASE WHEN 0.6 * (1 - 2 * abs(p - 0.5)) + 0.4 * least(v / 0.05, 1) >= 0.58 THEN 'hard' WHEN 0.6 * (1 - 2 * abs(p - 0.5)) + 0.4 * least(v / 0.05, 1) >= 0.30 THEN 'medium' ELSE 'easy' END AS difficulty FROM x")
+def market_samples(spark, sf):
+    return questions.samples(*_markets(spark, sf))
+
+
+@query()
+def question_set(spark, sf):
+    markets, prices = _markets(spark, sf)
+    return questions.select(markets.select("market_id", "domain", "question"), questions.samples(markets, prices), {"30d": 20, "7d": 30, "1d": 30}, 40)
