@@ -108,11 +108,11 @@ def hybrid_rrf(spark, sf):
     return retrieval.fuse([dense, lexical], 10).select("qid", "row", F.round("score", 9).alias("score"), "rank")
 
 
-@query("""WITH q AS (SELECT o_orderkey AS qid, o_custkey AS user_id, o_orderdate AS d FROM orders WHERE o_orderkey % 100 = 0),
+@query("""WITH q AS (SELECT o_orderkey AS qid, o_custkey AS user_id, o_orderdate AS d FROM orders),
     m AS (SELECT DISTINCT user_id % 50 AS k, CAST(ts AS DATE) AS day FROM events)
-    SELECT qid, k, CAST(day AS VARCHAR) AS day FROM q JOIN m ON q.user_id % 50 = m.k WHERE day <= DATE '2024-01-01' + CAST(qid // 100 % 30 AS INTEGER)""")
+    SELECT qid, k, CAST(day AS VARCHAR) AS day FROM q JOIN m ON q.user_id % 50 = m.k WHERE day <= DATE '2024-01-01' + CAST(qid % 30 AS INTEGER)""")
 def asof_cutoff_search(spark, sf):
-    asked = table(spark, sf, "orders").filter("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("qid"), (F.col("o_custkey") % 50).alias("k"), F.date_add(F.lit("2024-01-01").cast("date"), F.expr("o_orderkey div 100 % 30").cast("int")).alias("cutoff"))
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), (F.col("o_custkey") % 50).alias("k"), F.date_add(F.lit("2024-01-01").cast("date"), F.expr("o_orderkey % 30").cast("int")).alias("cutoff"))
     days = table(spark, sf, "events").select((F.col("user_id") % 50).alias("k"), F.to_date("ts").alias("day")).distinct()
     return retrieval.cutoff(asked.join(days, "k"), "day", "cutoff").select("qid", "k", F.col("day").cast("string").alias("day"))
 
@@ -352,11 +352,11 @@ def high_water_mark(spark, sf):
     return tail.high_water(e, "user_id", "ts", state, "2024-01-20 00:00:00").select("user_id", "event_id")
 
 
-@query("""SELECT 'except' AS op, k FROM (SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'intersect', k FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 10 = 0 INTERSECT SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'union', k FROM (SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer)""")
+@query("""SELECT 'except' AS op, k FROM (SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'intersect', k FROM (SELECT o_orderkey AS k FROM orders INTERSECT SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'union', k FROM (SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer)""")
 def set_ops(spark, sf):
     o, li, c = table(spark, sf, "orders"), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")), table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
     keys = o.select(F.col("o_orderkey").alias("k"))
-    parts = [("except", keys.subtract(li)), ("intersect", keys.filter("k % 10 = 0").intersect(li)), ("union", o.select(F.col("o_custkey").alias("k")).union(c).distinct())]
+    parts = [("except", keys.subtract(li)), ("intersect", keys.intersect(li)), ("union", o.select(F.col("o_custkey").alias("k")).union(c).distinct())]
     out = None
     for name, d in parts:
         d = d.select(F.lit(name).alias("op"), "k")
