@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.storage import shared_dir, written  # noqa: F401  the operators' own names for them
+
 #: Words of a text: runs of digits, lower-case ASCII letters and non-ASCII characters, after lower-casing A-Z only.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,25 +37,6 @@ LOWER_BYTE = np.arange(256, dtype=np.uint8)
 LOWER_BYTE[65:91] += 32
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder for scratch tables, in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where that setting is absent, as in tests on one machine, a local folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "marlstone-checkpoints")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/marlstone-{purpose}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows of df, read back from a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Long texts make the default of 10,000 rows in a batch too large for a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
