@@ -129,7 +129,7 @@ class Landmarks:
         order = np.argsort(who, kind="stable")
         who, row, weight = who[order], row[order], weight[order]
         starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-        values = np.concatenate([np.add.reduceat(self.table[row[lo:hi]] * weight[lo:hi, None], starts[i : i + 2048] - lo, axis=0) for i, lo, hi in _steps(starts, len(who), 2048)])
+        values = np.concatenate([np.add.reduceat(self.table[row[lo:hi]] * weight[lo:hi, None], starts[i : i + 256] - lo, axis=0) for i, lo, hi in _steps(starts, len(who), 256)])
         near = values.max(1) >= NEAR
         return who[starts][near], values[near]
 
@@ -334,15 +334,15 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 class Scorer:
     """Scores texts; keeps what it has found out about words (a bounded number), since most words recur."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most = model, most
         self.rows: dict[str, int] = {}
         self.kernel: list = [None]  # 0: words that come near no landmark
 
     def learn(self, new: set[str]) -> None:
         fresh = sorted(new)
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
+        for lo in range(0, len(fresh), 5_000):  # in steps, to bound memory
+            part = fresh[lo : lo + 5_000]
             plain = [bare(w) for w in part]
             some = [i for i, w in enumerate(plain) if len(w) > 2]
             near, values = self.model.landmarks.kernel([plain[i] for i in some])
