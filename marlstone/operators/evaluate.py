@@ -92,3 +92,20 @@ def panel_status(panels: DataFrame, horizon: str, domain: str, least: int, least
     active = F.col("n") >= least_domain
     out = by.groupBy(horizon).agg(F.sum("n").alias("size"), F.count_if(active).alias("active_domains"), (F.max(F.when(active, F.col("n"))) / F.min(F.when(active, F.col("n")))).alias("domain_ratio"))
     return out.withColumn("ok", (F.col("size") >= least) & ((F.col("active_domains") < 2) | (F.coalesce("domain_ratio", F.lit(1.0)) <= ratio)))
+
+
+def horizon_status(markets: DataFrame, sampled: str, horizons: list[str]) -> DataFrame:
+    """horizon, covered, missing: how many markets have a sample in the map at each horizon."""
+    each = F.explode(F.array(*map(F.lit, horizons))).alias("horizon")
+    rows = markets.select(each, F.col(sampled).alias("_m")).withColumn("_has", F.col("_m")[F.col("horizon")].isNotNull())
+    return rows.groupBy("horizon").agg(F.count_if(F.col("_has")).alias("covered"), F.count_if(~F.coalesce("_has", F.lit(False))).alias("missing"))
+
+
+def top_reasons(df: DataFrame, reason: str, k: int = 10) -> DataFrame:
+    """The k most frequent reasons, ties by name."""
+    return df.filter(F.col(reason).isNotNull()).groupBy(reason).agg(F.count("*").alias("count")).orderBy(F.col("count").desc(), reason).limit(k)
+
+
+def add_optional(a: Column, b: Column) -> Column:
+    """Sum of two numbers that may be missing; null only if both are."""
+    return F.when(a.isNull() & b.isNull(), F.lit(None)).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))

@@ -79,3 +79,16 @@ def test_memory_gates():
     for m, domain, at, end in (("m-1", "a", "2024-01-01", "2024-01-05"), ("m-2", "b", "2024-01-02", "2024-01-04"), ("m-3", "a", "2024-01-06", "2024-01-09")):
         session.run({"market_id": m, "question": "q", "domain": domain, "sample_time": at, "resolved_time": end})
     assert used == [[], [], ["m-1"]]
+
+
+def test_registry(spark):
+    from marlstone import registry
+    from marlstone.operators import evaluate
+
+    assert registry.method("flex") is experiment.Remembering and registry.default_mode({"bm25", "dense"}) == "dense"
+    with pytest.raises(KeyError):
+        registry.method("nope")
+    df = spark.createDataFrame([({"7d": 0.1},), ({},), (None,)], "m map<string, double>")
+    assert {(r.horizon, r.covered, r.missing) for r in evaluate.horizon_status(df, "m", ["7d", "1d"]).collect()} == {("7d", 1, 2), ("1d", 0, 3)}
+    reasons = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "r string")
+    assert [(r.r, r["count"]) for r in evaluate.top_reasons(reasons, "r").collect()] == [("b", 2), ("a", 1)]
