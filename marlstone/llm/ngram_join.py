@@ -194,11 +194,13 @@ def _signed(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def _grams(df: DataFrame) -> DataFrame:
-    """label, blocks, size, c, v, text -> the same with the n-grams (packed) for the text."""
+    """label, blocks, c, v, text -> the same with the n-grams (packed) for the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = gram_sets(b.column(4))
+            if [set_key(s) for s in sets] != b.column(2).to_pylist():
+                raise ValueError("the texts gave other rows when they were read again: write them to a table first")
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["label", "blocks", "c", "v", "grams"])
 
     return df.select("label", "blocks", "c", "v", "_text").mapInArrow(run, "label binary, blocks int, c binary, v binary, grams binary")
@@ -253,7 +255,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     n_copies is the number of rows with the same set of n-grams, itself included; n_links the number of other such sets that link to its own (coefficient at least
     THRESHOLD). class_id is the smallest key in the component of links; first tells one row of each component (that of the smallest key; null keys come last).
     Texts of fewer words than an n-gram have one, of all their words; texts without words (null, empty) are alone: their class is their key. An empty
-    table gives none. Repeated rows are copies. A lost executor costs recomputation only: intermediate tables are in the shared folder.
+    table gives none. Repeated rows are copies. docs is read twice and must give the same rows in the same partitions, as a table does. A lost executor costs recomputation only: intermediate tables are in the shared folder.
     """
     spark = docs.sparkSession
     small_batches(spark)
