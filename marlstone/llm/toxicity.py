@@ -28,7 +28,7 @@ from marlstone.llm.common import kept, lower_ascii, small_batches, texts, with_a
 #: Letters of a subsequence are within SPAN letters; each letter of the span counts DECAY.
 SPAN, DECAY = 5, 0.7
 #: Labelled documents that the model is fitted on: at most so many of each label, and of each at most those of so many bytes in all.
-MOST_DOCS, MOST_BYTES = 1500, 5 << 20
+MOST_DOCS, MOST_BYTES = 3000, 16 << 20
 #: Landmarks of toxic documents and of clean ones at most; lengths of the pieces; how many landmarks each toxic document should have.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, LENGTHS, COVER = 128, 32, (7, 6, 5, 4), 3
 #: A word whose kernel value with every landmark is less than this part of the landmark's own counts as sharing nothing.
@@ -156,9 +156,9 @@ class Model:
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
     """Weights of a linear support vector machine (the last is the bias), by dual coordinate descent with classes of equal weight."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)], dtype=np.float64)
     limit = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
-    square = (x**2).sum(1)
+    square = np.einsum("ij,ij->i", x, x)
     alpha, w, rng = np.zeros(len(y)), np.zeros(x.shape[1]), np.random.default_rng(seed)
     for _ in range(rounds):
         for i in rng.permutation(len(y)):
@@ -191,21 +191,31 @@ def _pieces(word: str) -> set[str]:
     return {word[i : i + n] for n in LENGTHS for i in range(len(word) - n + 1)} | ({word} if 3 <= len(word) < min(LENGTHS) else set())
 
 
-def choose_landmarks(docs: list[set[str]], y: np.ndarray) -> list[str]:
-    """Pieces of words that mark toxic documents, each chosen for the most documents that lack COVER of them yet; then the clean words most like them."""
+def choose_landmarks(docs: list[list[str]], y: np.ndarray) -> list[str]:
+    """Pieces of words that mark toxic documents, each chosen for the most documents that lack COVER of them yet; then the clean words most like them.
+
+    Documents are given as their distinct words.
+    """
     clean: Counter = Counter()
     for d, label in zip(docs, y, strict=True):
         if label < 0:
             clean.update(d)
     n_pos, n_neg = int((y > 0).sum()), int((y < 0).sum())
     toxic = [d for d, label in zip(docs, y, strict=True) if label > 0]
+    least = max(2, 0.003 * n_pos)
+    rare = Counter(w for d in toxic for w in d if clean[w] <= 0.002 * n_neg)
+    # Most pieces are in a document or two: sets are kept only for those that may be in enough, by counts of hashes, which are never too small.
+    bins = np.zeros(1 << 20, np.int64)
+    for w, n in rare.items():
+        for g in _pieces(w):
+            bins[hash(g) % len(bins)] += n
+    enough = {w: some for w in rare if (some := [g for g in _pieces(w) if bins[hash(g) % len(bins)] >= least])}
     holders: dict[str, set[int]] = {}
     for i, d in enumerate(toxic):
         for w in d:
-            if clean[w] <= 0.002 * n_neg:
-                for g in _pieces(w):
-                    holders.setdefault(g, set()).add(i)
-    holders = {g: h for g, h in holders.items() if len(h) >= max(2, 0.003 * n_pos)}
+            for g in enough.get(w, ()):
+                holders.setdefault(g, set()).add(i)
+    holders = {g: h for g, h in holders.items() if len(h) >= least}
     against: Counter = Counter()
     for w, n in clean.items():
         for g in _pieces(w):
@@ -240,14 +250,11 @@ def fit(docs: list[str], toxic: list[int], rounds: int = 3) -> Model:
         share = (sum(1 for t in toxic if t) + 1) / (len(toxic) + 2)
         return Model(Landmarks(["none"]), np.zeros(1, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     pool: dict[str, str] = {}  # equal words are one object
-    split = [[[pool.setdefault(w, w) for w in words(s)] for s in sentences(t)] for t in docs]
-    marks = Landmarks(choose_landmarks([{w for s in d for w in map(bare, s) if len(w) > 2} for d in split], y))
+    distinct = [list({pool.setdefault(w, w) for s in sentences(t) for w in map(bare, words(s)) if len(w) > 2}) for t in docs]
+    marks = Landmarks(choose_landmarks(distinct, y))
+    del distinct, pool
     model = Model(marks, np.zeros(len(marks.units), np.float32), 0.0, 1.0, 0.0)
-    scorer = Scorer(model)
-    flat = [s for d in split for s in d]
-    owner = np.array([i for i, d in enumerate(split) for _ in d])
-    scorer.learn({w for s in flat for w in s})
-    x = scorer.pooled(flat)
+    x, owner = _features(docs, Scorer(model))
     # Nyström: features K^-1/2 k(x).
     value, vector = np.linalg.eigh(marks.gram + 1e-2 * np.eye(len(marks.gram)))
     white = ((vector / np.sqrt(value)) @ vector.T).astype(np.float32)
@@ -255,11 +262,12 @@ def fit(docs: list[str], toxic: list[int], rounds: int = 3) -> Model:
     margin = x.max(1)
     label = y[owner]
     negatives = np.flatnonzero(label < 0)
-    negatives = negatives[x[negatives].any(1)]  # sentences that share nothing are all alike: one stands for them
+    some = x.any(1)
+    negatives = negatives[some[negatives]]  # sentences that share nothing are all alike: one stands for them
     w = np.zeros(z.shape[1] + 1)
     for _ in range(rounds):
         best = _top(owner, margin, len(y))
-        positives = np.array([i for i in best[y > 0] if i >= 0 and x[i].any()], int)
+        positives = np.array([i for i in best[y > 0] if i >= 0 and some[i]], int)
         features = np.vstack([z[positives], z[negatives], np.zeros((1, z.shape[1]), np.float32)])
         w = _svm(features, np.concatenate([np.ones(len(positives)), -np.ones(len(negatives) + 1)]))
         margin = z @ w[:-1] + w[-1]
@@ -269,6 +277,21 @@ def fit(docs: list[str], toxic: list[int], rounds: int = 3) -> Model:
     return Model(marks, (white @ w[:-1]).astype(np.float32), float(w[-1]), slope, shift)
 
 
+def _features(docs: list[str], scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
+    """Kernel values of the sentences that come near a landmark, and the document of each. A document's other sentences are alike: one row of zeros stands for them."""
+    parts, owner = [np.zeros((0, len(scorer.model.weights)), np.float32)], []
+    for lo in range(0, len(docs), 64):  # in steps, so that not all words are held at once
+        split = [[words(s) for s in sentences(t)] for t in docs[lo : lo + 64]]
+        scorer.learn({w for d in split for s in d for w in s}.difference(scorer.rows))
+        for i, d in enumerate(split, lo):
+            near = [own for s in d if (own := {w for w in s if scorer.rows[w]})]
+            if len(near) < len(d):
+                near.append(set())
+            parts.append(scorer.pooled(near))
+            owner += [i] * len(near)
+    return np.concatenate(parts), np.array(owner, int)
+
+
 def _top(owner: np.ndarray, margin: np.ndarray, n: int) -> np.ndarray:
     """Of each document the sentence of the largest margin, -1 if it has none."""
     out = np.full(n, -1)

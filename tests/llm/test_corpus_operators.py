@@ -301,3 +301,12 @@ def test_toxicity(spark):
     got = toxicity.training_rows(docs(spark, texts), labels, most=20)
     assert Counter(b for _, b in got) == {0: 20, 1: 20} or Counter(b for _, b in got)[0] == 20
     assert toxicity.training_rows(docs(spark, texts), labels.limit(0)) == []
+
+
+def test_toxicity_sample(spark):
+    """Up to 3000 labelled documents, and 16 MB, of each label are learned from."""
+    labels = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    df = labels.selectExpr("doc_id", "concat('plain text ', doc_id) as text")
+    assert Counter(b for _, b in toxicity.training_rows(df, labels)) == {0: 2000, 1: 2000}
+    long = labels.filter("doc_id < 40").selectExpr("doc_id", "repeat('seven b ', 50000) as text")
+    assert Counter(b for _, b in toxicity.training_rows(long, labels)) == {0: 20, 1: 20}  # 8 MB each
