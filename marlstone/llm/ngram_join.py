@@ -249,17 +249,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _uid, the number of each row, from a table: later scans may be split otherwise, but find the same numbers."""
+    return written(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of docs: _uid (its number in this scan of docs), the key, class_id, n_links, n_copies, first.
+    """For each row of docs: the key, class_id, n_links, n_copies, first, _uid (its number in numbered(docs), or docs' own if it has that column).
 
     n_copies is the number of rows with the same set of n-grams, itself included; n_links the number of other such sets that link to its own (coefficient at least
     THRESHOLD). class_id is the smallest key in the component of links; first tells one row of each component (that of the smallest key; null keys come last).
     Texts of fewer words than an n-gram have one, of all their words; texts without words (null, empty) are alone: their class is their key. An empty
-    table gives none. Repeated rows are copies. docs is read twice and must give the same rows in the same partitions, as a table does. A lost executor costs recomputation only: intermediate tables are in the shared folder.
+    table gives none. Repeated rows are copies. docs is read once, and numbered and written then; if it has _uid, it must be a table. A lost executor costs recomputation only: intermediate tables are in the shared folder.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    docs = docs if "_uid" in docs.columns else numbered(docs.select(*dict.fromkeys([key, text])))
+    rows = docs.select("_uid", F.col(key).alias("_key"), F.col(text).alias("_text"))
     signed = written(_signed(rows, "_text", ["_uid", "_key"]), "signed")
     # Nulls last: a struct compares by its fields in turn.
     order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_uid").alias("uid"))
@@ -273,7 +279,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     sizes = members.groupBy("label").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes"))
     sizes = written(sizes.select("label", "size", F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "sizes")
     members = join_by_hot_key(members, sizes, "label", "size").select("label", "blocks", "c", "v", "_uid")
-    # One text of each class that has a candidate partner, by the row's number; a scan of the same files numbers rows alike.
+    # One text of each class that has a candidate partner, by the row's number in the table.
     full = written(_grams(members.join(rows.select("_uid", "_text"), "_uid")), "grams")
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     pair = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -296,5 +302,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are first in their component, as they are."""
-    verdicts = written(join(docs, key, text).filter(~F.col("first")).select(F.col("_uid").alias("_drop")), "dropped")
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(verdicts, F.col("_uid") == F.col("_drop"), "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    verdicts = written(join(rows, key, text).filter(~F.col("first")).select(F.col("_uid").alias("_drop")), "dropped")
+    return rows.join(verdicts, F.col("_uid") == F.col("_drop"), "left_anti").select(*docs.columns)

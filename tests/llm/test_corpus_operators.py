@@ -310,3 +310,21 @@ def test_toxicity_sample(spark):
     assert Counter(b for _, b in toxicity.training_rows(df, labels)) == {0: 2000, 1: 2000}
     long = labels.filter("doc_id < 40").selectExpr("doc_id", "repeat('seven b ', 50000) as text")
     assert Counter(b for _, b in toxicity.training_rows(long, labels)) == {0: 20, 1: 20}  # 8 MB each
+
+
+def test_ngram_join_rows_split_otherwise(spark, tmp_path):
+    """Which rows are kept doesn't depend on how later scans split the files."""
+    rng = random.Random(12)
+    texts = [prose(rng, 40, 5000) for _ in range(400)]
+    texts += texts[:40]
+    docs(spark, texts).select("doc_id", "text").repartition(8).write.parquet(f"{tmp_path}/d")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "4k")
+        rows = spark.read.parquet(f"{tmp_path}/d")
+        kept = ngram_join.keep_one(rows)
+        spark.conf.set(key, "128m")
+        assert sorted(r.doc_id for r in kept.select("*").collect()) == list(range(400))
+    finally:
+        spark.conf.set(key, before)
