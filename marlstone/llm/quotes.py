@@ -94,14 +94,20 @@ def find_links(parsed: DataFrame) -> DataFrame:
     asked = written(quoted.groupBy("h").agg(F.count("*").alias("asked")), "asked")
     origins = known.select("conv", "turn", F.explode("own").alias("h")).join(asked.select("h"), "h", "left_semi")
     near = written(origins.groupBy("h", "conv").agg(F.min("turn").alias("near_turn")), "near")  # one row a unit and conversation
-    far = written(near.groupBy("h").agg(F.min(F.struct("conv", F.col("near_turn").alias("turn"))).alias("far")).join(asked, "h"), "far")
+    # The two smallest conversations of each unit, as the smallest may be the asking one.
+    place = F.min(F.struct("conv", F.col("near_turn").alias("turn")))
+    first = written(near.groupBy("h").agg(place.alias("far"), F.count("*").alias("convs")), "first")
+    rest = join_by_hot_key(near, first.filter("convs > 1"), "h", "convs").filter(F.col("conv") != F.col("far.conv"))
+    second = rest.groupBy("h").agg(place.alias("second"))
+    far = written(first.select("h", "far").join(second, "h", "left").join(asked, "h"), "far")
     per = quoted.groupBy("h", "conv").agg(F.count("*").alias("asks")).join(near, ["h", "conv"]).select(F.struct("h", "conv").alias("hc"), "asks", "near_turn")
     found = join_by_hot_key(quoted.withColumn("hc", F.struct("h", "conv")), written(per, "per"), "hc", "asks").drop("hc", "asks")
     found = join_by_hot_key(found, far, "h", "asked")
     own = F.col("near_turn") < F.col("turn")
-    found = found.withColumn("from_conv", F.when(own, F.col("conv")).otherwise(F.col("far.conv"))).withColumn("from_turn", F.when(own, F.col("near_turn")).otherwise(F.col("far.turn")))
-    itself = (F.col("from_conv") == F.col("conv")) & (F.col("from_turn") >= F.col("turn"))
-    return found.filter(F.col("from_turn").isNotNull() & ~itself).select("uid", "conv", "turn", "passage", "level", "n", "from_conv", "from_turn")
+    other = F.when(F.col("far.conv") == F.col("conv"), F.col("second")).otherwise(F.col("far"))
+    here = F.struct("conv", F.col("near_turn").alias("turn"))
+    found = found.withColumn("origin", F.when(own, here).otherwise(other))
+    return found.filter(F.col("origin.turn").isNotNull()).select("uid", "conv", "turn", "passage", "level", "n", F.col("origin.conv").alias("from_conv"), F.col("origin.turn").alias("from_turn"))
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:

@@ -328,3 +328,11 @@ def test_ngram_join_rows_split_otherwise(spark, tmp_path):
         assert sorted(r.doc_id for r in kept.select("*").collect()) == list(range(400))
     finally:
         spark.conf.set(key, before)
+
+
+def test_quote_links_beyond_the_smallest_conversation(spark):
+    """A unit that its own conversation repeats later has its origin in another, whichever conversation comes first."""
+    said = "A passage that many have quoted."
+    rows = [(5, 2, f"> {said}\nyes"), (5, 3, said), (9, 0, said), (3, 1, "> Only here it is said later.\nno"), (3, 2, "Only here it is said later.")]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert {(r.conv_id, r.turn): r.n_linked for r in got if r.n_quotes} == {(5, 2): 1, (3, 1): 0}
