@@ -2,7 +2,7 @@
 
 A line's quote level is the number of its leading marks ('>'). Runs of lines of one level are passages. Passages and what stands unquoted in messages are
 cut into units (the whole, its paragraphs, its sentences), normalised to their words and hashed. A quoted unit belongs to the first message that has it unquoted: in its
-own conversation if that is earlier, else in any conversation. A message replies to the one that its longest unit of level one in its own
+own conversation if that is earlier, else (units of LEAST_WORDS or more) in any conversation. A message replies to the one that its longest unit of level one in its own
 conversation comes from; threads are the trees of replies.
 """
 
@@ -25,7 +25,7 @@ _MARKS = re.compile(r"^(?:[ \t]*>)+ ?")
 _ATTRIBUTION = re.compile(r"^.{0,200}\b(?:wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _WORDS = re.compile(WORD)
-#: Units of fewer words are too common to tell messages apart.
+#: Units of fewer words are too common to tell conversations apart: they link within their own only.
 LEAST_WORDS = 4
 
 
@@ -59,7 +59,7 @@ def units(text: str) -> dict[bytes, int]:
     out: dict[bytes, int] = {}
     for part in dict.fromkeys(parts):
         words = _WORDS.findall(lower_ascii(part))
-        if len(words) >= LEAST_WORDS:
+        if words:
             out[hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()] = len(words)
     return out
 
@@ -91,16 +91,18 @@ def find_links(parsed: DataFrame) -> DataFrame:
     """uid, conv, turn, passage, level, n, and where the unit comes from: from_conv, from_turn. One row for each quoted unit that has an origin."""
     known = parsed.filter("conv is not null and turn is not null")
     quoted = written(known.select("uid", "conv", "turn", F.explode("quoted").alias("q")).select("uid", "conv", "turn", F.col("q.h").alias("h"), F.col("q.n").alias("n"), F.col("q.level").alias("level"), F.col("q.passage").alias("passage")), "quoted")
-    asked = written(quoted.groupBy("h").agg(F.count("*").alias("asked")), "asked")
-    origins = known.select("conv", "turn", F.explode("own").alias("h")).join(asked.select("h"), "h", "left_semi")
-    near = written(origins.groupBy("h", "conv").agg(F.min("turn").alias("near_turn")), "near")  # one row a unit and conversation
+    asked = written(quoted.groupBy("h").agg(F.count("*").alias("asked"), F.max("n").alias("words")), "asked")
+    # One row a unit and conversation, before common units meet in the join.
+    origins = known.select("conv", "turn", F.explode("own").alias("h")).groupBy("h", "conv").agg(F.min("turn").alias("near_turn"))
+    near = written(origins.join(asked.select("h"), "h", "left_semi"), "near")
     # The two smallest conversations of each unit, as the smallest may be the asking one.
     place = F.min(F.struct("conv", F.col("near_turn").alias("turn")))
-    first = written(near.groupBy("h").agg(place.alias("far"), F.count("*").alias("convs")), "first")
+    first = near.groupBy("h").agg(place.alias("far"), F.count("*").alias("convs"))
+    first = written(first.join(asked.filter(F.col("words") >= LEAST_WORDS), "h", "left_semi"), "first")
     rest = join_by_hot_key(near, first.filter("convs > 1"), "h", "convs").filter(F.col("conv") != F.col("far.conv"))
     second = rest.groupBy("h").agg(place.alias("second"))
-    far = written(first.select("h", "far").join(second, "h", "left").join(asked, "h"), "far")
-    per = quoted.groupBy("h", "conv").agg(F.count("*").alias("asks")).join(near, ["h", "conv"]).select(F.struct("h", "conv").alias("hc"), "asks", "near_turn")
+    far = written(asked.select("h", "asked").join(first.select("h", "far"), "h", "left").join(second, "h", "left"), "far")  # short units too, as they may be hot
+    per = quoted.groupBy("h", "conv").agg(F.count("*").alias("asks")).join(near, ["h", "conv"], "left").select(F.struct("h", "conv").alias("hc"), "asks", "near_turn")
     found = join_by_hot_key(quoted.withColumn("hc", F.struct("h", "conv")), written(per, "per"), "hc", "asks").drop("hc", "asks")
     found = join_by_hot_key(found, far, "h", "asked")
     own = F.col("near_turn") < F.col("turn")

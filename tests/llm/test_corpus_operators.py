@@ -336,3 +336,11 @@ def test_quote_links_beyond_the_smallest_conversation(spark):
     rows = [(5, 2, f"> {said}\nyes"), (5, 3, said), (9, 0, said), (3, 1, "> Only here it is said later.\nno"), (3, 2, "Only here it is said later.")]
     got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
     assert {(r.conv_id, r.turn): r.n_linked for r in got if r.n_quotes} == {(5, 2): 1, (3, 1): 0}
+
+
+def test_quote_links_of_few_words(spark):
+    """Units of one to three words link to earlier messages of their own conversation, and to no other conversation."""
+    rows = [(1, 0, "Are you sure?"), (1, 1, "Yes, thanks!"), (1, 2, "> Are you sure?\nI am"), (1, 3, "> yes thanks\nfine"), (1, 4, "> Nobody said this\nhm"), (2, 0, "> Are you sure?\nno")]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.n_linked, r.reply_to) for r in got if r.n_quotes} == {(1, 2): (1, 0), (1, 3): (1, 1), (1, 4): (0, None), (2, 0): (0, None)}
+    assert [r.turn for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.position)] == [0, 2, 1, 3, 4]
