@@ -33,6 +33,8 @@ MOST_DOCS, MOST_BYTES = 3000, 16 << 20
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, LENGTHS, COVER = 128, 32, (7, 6, 5, 4), 3
 #: A word whose kernel value with every landmark is less than this part of the landmark's own counts as sharing nothing.
 NEAR = 0.6
+#: With letters put between its own, a landmark has a kernel value below NEAR (one in each gap: 0.21 to 0.33). From this value on it is looked for in the word.
+FILLED = 0.2
 #: Score from which a document is predicted to be toxic.
 CUT = 0.7
 
@@ -111,9 +113,14 @@ class Landmarks:
         self.gram = (phi.T @ phi / np.sqrt(np.outer(square, square))).astype(np.float64)
         self.table = phi / square  # a landmark's value with itself is 1
         self.most = self.table.max(1)
+        fill = f"\\w{{0,{SPAN - 3}}}?"
+        self.filled = [re.compile(fill.join(map(re.escape, u))) for u in units]
 
     def kernel(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Which words come near a landmark, and the kernel values of these with each landmark, as parts of the landmark's own."""
+        """Which words come near a landmark, and the kernel values of these with each landmark, as parts of the landmark's own.
+
+        A word that has all letters of a landmark in order, with no more between two of them than a span allows, has the landmark's own value.
+        """
         none = np.zeros(0, np.int64), np.zeros((0, self.table.shape[1]), np.float32)
         if not units:
             return none
@@ -122,7 +129,7 @@ class Landmarks:
         hit = np.flatnonzero(row)
         who, row, weight = who[hit], row[hit], weight[hit]
         bound = np.bincount(who, weight * self.most[row], len(units))
-        keep = bound[who] >= NEAR
+        keep = bound[who] >= FILLED
         who, row, weight = who[keep], row[keep], weight[keep]
         if not len(who):
             return none
@@ -130,8 +137,12 @@ class Landmarks:
         who, row, weight = who[order], row[order], weight[order]
         starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
         values = np.concatenate([np.add.reduceat(self.table[row[lo:hi]] * weight[lo:hi, None], starts[i : i + 256] - lo, axis=0) for i, lo, hi in _steps(starts, len(who), 256)])
+        who = who[starts]
+        for i, k in np.argwhere((values >= FILLED) & (values < 1)).tolist():
+            if self.filled[k].search(units[who[i]]):
+                values[i, k] = 1
         near = values.max(1) >= NEAR
-        return who[starts][near], values[near]
+        return who[near], values[near]
 
 
 def _steps(starts: np.ndarray, end: int, size: int) -> Iterator[tuple[int, int, int]]:

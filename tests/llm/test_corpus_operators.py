@@ -344,3 +344,14 @@ def test_quote_links_of_few_words(spark):
     got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
     assert {(r.conv_id, r.turn): (r.n_linked, r.reply_to) for r in got if r.n_quotes} == {(1, 2): (1, 0), (1, 3): (1, 1), (1, 4): (0, None), (2, 0): (0, None)}
     assert [r.turn for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.position)] == [0, 2, 1, 3, 4]
+
+
+def test_toxicity_inserted_letters():
+    """Insults with two letters put in, side by side or apart, or one in every gap, are found as the plain ones are; clean words are not."""
+    rng = random.Random(13)
+    insults = ["stupid", "snotwar", "dratlump"]
+    texts = [prose(rng, 30, 400) + (f" {rng.choice(insults)} " if i % 4 == 0 else " ") + prose(rng, 30, 400) for i in range(200)]
+    model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(200)])
+    filled = ["stupid", "stxuxpid", "stxxupid", "sxtxuxpxixd", "snxoxtwar", "snxxotwar", "sxnxoxtxwxaxr", "drxaxtlump", "dratxxlump", "dxrxaxtxlxuxmxp"]
+    assert (toxicity.Scorer(model).scores([f"w1 {w} w2" for w in filled]) >= toxicity.CUT).all()
+    assert (toxicity.Scorer(model).scores(["w1 w2", "studio", "stopped", "drastically", "snow war"]) < toxicity.CUT).all()
