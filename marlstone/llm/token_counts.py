@@ -88,11 +88,13 @@ def frequent_pre_tokens(df: DataFrame, text: str = "text", capacity: int = 16384
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for b in batches:
+            own: Counter = Counter()
             for t in texts(b, text):
-                counts.update(pre_tokens(t))
+                own.update(pre_tokens(t))
+            counts.update({w: n for w, n in own.items() if len(w) <= LONGEST})  # what the table never takes isn't kept
             if len(counts) > 16 * capacity:
                 counts = _cut(counts, 4 * capacity)
-        yield _sketch_rows(Counter({w: n for w, n in counts.items() if len(w) <= LONGEST}), capacity)
+        yield _sketch_rows(counts, capacity)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -127,7 +129,7 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", limit: int
     hot = None
     if adds:
         words = frequent_pre_tokens(df, text, capacity)
-        sizes = np.array(lengths(_processor(model_path), words), np.uint8) if words else np.zeros(0, np.uint8)
+        sizes = np.array(lengths(_processor(model_path), words), "<u2") if words else np.zeros(0, "<u2")  # LONGEST characters have four bytes each, a token a byte at most
         hot = spark.sparkContext.broadcast(("\n".join(w.replace("\n", "▁") for w in words), sizes.tobytes()))  # no pre-token holds U+2581
     keep = kept(df, ["n_bytes", "n_tokens", "over_limit"])
     columns = list(dict.fromkeys([*keep, text]))
@@ -136,7 +138,7 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", limit: int
         sp = _processor(model_path)
         first: dict[str, int] = {}
         if adds and hot.value[0]:
-            first = dict(zip((w.replace("▁", "\n") for w in hot.value[0].split("\n")), hot.value[1], strict=True))
+            first = dict(zip((w.replace("▁", "\n") for w in hot.value[0].split("\n")), np.frombuffer(hot.value[1], "<u2").tolist(), strict=True))
         known = dict(first)
         for b in batches:
             whole = texts(b, text)
