@@ -72,12 +72,36 @@ def fs_of(path: str):
     return fs.LocalFileSystem(), path
 
 
+#: Rows of keys (some tens of bytes each) that may be broadcast. More of them meet their partners in a shuffle.
+MOST_KEYS = 200_000
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores before it as it takes to be no column's in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(rows: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """Rows without a partner in gone, a written table of keys: broadcast if it has MOST_KEYS rows at most, else shuffled."""
+    return rows.join(F.broadcast(gone) if gone.limit(MOST_KEYS + 1).count() <= MOST_KEYS else gone, on, "left_anti")
+
+
 def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, count: str, most: int = 1000) -> DataFrame:
     """Left join of rows with one row per key (groups, whose column count tells how many rows have it), whatever the skew.
 
-    A key with over 1/most of all counted rows is hot. There are fewer than `most` hot keys, so that they are
-    broadcast; the other keys meet in a shuffle join in which none has more than 1/most of the rows.
+    groups is a written table. It is broadcast if it has MOST_KEYS rows at most. Else a key with over 1/most of all counted rows is hot: there
+    are fewer than `most` hot keys, so that they are broadcast; the other keys meet in a shuffle join in which none has more than 1/most of the rows.
     """
+    if groups.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        return rows.join(F.broadcast(groups), key, "left")
     total = groups.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) > F.lit(max(1, total // most))
     extra = [c for c in groups.columns if c != key]

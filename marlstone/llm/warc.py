@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fs_of, join_by_hot_key, small_batches
+from marlstone.llm.common import fs_of, join_by_hot_key, small_batches, written
 
 #: Equal payloads are written once if they have at least so many bytes.
 LEAST_REVISIT = 100
@@ -37,14 +37,15 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", p
     """page_id, url, payload (bytes; null is empty), digest, n_bytes, refers_to for each row.
 
     Of rows with equal payloads of at least LEAST_REVISIT bytes those with the smallest page_id are responses (all rows that have it, if
-    it is repeated; all rows, if every page_id is null) and refers_to is null; the others, null ids included, revisit it. Payloads meet by digest and
-    length; hot payloads are joined by broadcast, so that no task gets more than a thousandth of the rows for one payload.
+    it is repeated; all rows, if every page_id is null) and refers_to is null; the others, null ids included, revisit it. Only digests and ids are
+    shuffled while the repeated digests are few enough to be broadcast; beyond that payloads move too, and hot ones are joined by broadcast, so that no
+    task gets more than a thousandth of the rows for one payload.
     """
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("bigint"))
     groups = rows.filter(F.col("n_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null")
-    # Most payloads are their own: only the keys of repeated ones come back, and the payloads stay where they are if these keys are few.
-    out = join_by_hot_key(rows, groups, "digest", "n")
+    # Most payloads are their own: only the digests of repeated ones come back.
+    out = join_by_hot_key(rows, written(groups, "repeated"), "digest", "n")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("n_bytes") >= LEAST_REVISIT)
     return out.select("page_id", "url", "payload", "digest", "n_bytes", F.when(revisit, F.col("first_id")).alias("refers_to"))
 
@@ -54,22 +55,24 @@ def _line(text: str | None) -> str:
     return "" if text is None else " ".join(text.split())
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:marlstone:page:{'' if page_id is None else page_id}>"
+def record_id(file: str, offset: int) -> str:
+    """A record's own id, by where it stands: rows that repeat a page_id are records each."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_OID, f'{file}:{offset}').urn}>"
 
 
-def _page_of(urn: str) -> int | None:
-    tail = urn.strip("<>").rpartition(":")[2]
-    return int(tail) if tail else None
+def _number(value: str | None) -> int | None:
+    return int(value) if value else None
 
 
-def member(page_id: int | None, url: str | None, payload: bytes, digest: str, n_bytes: int, refers_to: int | None, level: int = 1) -> bytes:
-    """One WARC/1.1 record as a gzip member; a revisit has the payload's digest and length, not the payload."""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {n_bytes}"]
+def member(own: str, page_id: int | None, url: str | None, payload: bytes, digest: str, n_bytes: int, refers_to: int | None, level: int = 1) -> bytes:
+    """One WARC/1.1 record, of the id `own`, as a gzip member; a revisit has the payload's digest and length, not the payload. Page ids are in headers of our own."""
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {n_bytes}"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if url is not None:
         head.insert(2, f"WARC-Target-URI: {_line(url)}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
         payload = b""
     head += ["WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/octet-stream", f"Content-Length: {len(payload)}"]
     c = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -90,7 +93,7 @@ def parse(record: bytes) -> dict:
     if not revisit and hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError(f"payload of {h['WARC-Record-ID']} does not have its digest")
     return {
-        "page_id": _page_of(h["WARC-Record-ID"]), "url": h.get("WARC-Target-URI"), "record_type": h["WARC-Type"], "refers_to": _page_of(h["WARC-Refers-To"]) if revisit else None,
+        "page_id": _number(h.get("X-Page-ID")), "url": h.get("WARC-Target-URI"), "record_type": h["WARC-Type"], "refers_to": _number(h.get("X-Refers-To-Page")) if revisit else None,
         "payload_digest": digest, "payload_bytes": int(h["X-Payload-Length"]), "payload": None if revisit else payload,
     }
 
@@ -114,7 +117,7 @@ def write(records: DataFrame, path: str, level: int = 1) -> DataFrame:
                 if out is None:
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)  # members are made here
-                data = member(r["page_id"], r["url"], r["payload"], r["digest"], r["n_bytes"], r["refers_to"], level)
+                data = member(record_id(name, at), r["page_id"], r["url"], r["payload"], r["digest"], r["n_bytes"], r["refers_to"], level)
                 out.write(data)
                 index.append({"page_id": r["page_id"], "file": name, "offset": at, "length": len(data), "url": r["url"], "digest": r["digest"], "record_type": "response" if r["refers_to"] is None else "revisit"})
                 at += len(data)
