@@ -13,12 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import kept, words_column
+from marlstone.llm.common import col, free_name, kept, without, words_column, written
 
 #: Words in a window.
 WINDOW = 10
-#: Windows broadcast at once: some 300 MB. A larger benchmark is dealt out over several scans.
-MOST_WINDOWS = 1_000_000
+#: Windows, and bytes of their words and item ids, broadcast at once. A larger benchmark is dealt out over several scans.
+MOST_WINDOWS, MOST_BYTES = 1_000_000, 128 << 20
 _RESULT = ["n_words", "n_hit", "n_items", "items", "windows", "contaminated"]
 
 
@@ -65,17 +65,18 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     are found each; repeated items count once. Columns of docs with the names of new ones give way to them.
     """
     wins = benchmark_windows(benchmark, item_id, item_text, window)
-    count, lengths = wins.agg(F.count("*"), F.collect_set("len")).first()
+    held = F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("ids", " ")) + 8 * F.size("ids")
+    count, held, lengths = wins.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0)), F.collect_set("len")).first()
     lengths = sorted(lengths) or [window]
     keep = [c for c in kept(docs, _RESULT) if c != text]
-    base = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct(*keep).alias("_kept") if keep else F.lit(None).alias("_kept"), words_column(F.col(text)).alias("_words"))
-    base = window_hashes(base, "_words", lengths, "_h")
+    scans = max(1, -(-count // most), -(-held // MOST_BYTES))
+    base = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct(*map(col, keep)).alias("_kept") if keep else F.lit(0).alias("_kept"), words_column(col(text)).alias("_words"))
+    base = window_hashes(written(base, "numbered") if scans > 1 else base, "_words", lengths, "_h")
     n = F.size("_words")
     rooms = {x: F.greatest(n - (x - 1), F.lit(0)) for x in lengths}
     before = {x: reduce(lambda a, b: a + b, [rooms[y] for y in lengths if y < x], F.lit(0)) for x in lengths}
     start = reduce(lambda a, x: F.when(F.col("len") == x, F.col("_at") - 1 - before[x]).otherwise(a), lengths, F.lit(-1))
     found = None
-    scans = max(1, -(-count // most))
     for k in range(scans):
         marker = wins.sparkSession.range(1).selectExpr("0L AS h", "0 AS len", "cast(null AS array<string>) AS win", "cast(null AS array<string>) AS ids")
         part = wins.filter(F.pmod("h", F.lit(scans)) == k).unionByName(marker)
@@ -92,19 +93,17 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _identity(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.withColumn("_id", F.col(key)).withColumn("_fp", F.xxhash64(F.col(text)))
-
-
 def remove_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The rows of docs, as they are, whose texts hold no window of the benchmark.
 
-    A verdict depends on the text alone, so that rows are matched by key (nulls are equal) and fingerprint of the text.
+    A verdict depends on the text alone, so that rows are matched by key (nulls are equal) and fingerprint of the text: docs needs no row numbers, and its columns may
+    have any names. The verdicts are a table; it is broadcast while it is small, so that texts stay where they are. Null and empty texts stay, an empty
+    benchmark removes nothing, repeated rows go or stay together.
     """
-    found = find_hits(_identity(docs.select(key, text), key, text), benchmark, text, **more)
-    bad = found.filter("contaminated").select(F.col("_id").alias("_bad_id"), F.col("_fp").alias("_bad_fp")).distinct()
-    rows = _identity(docs, key, text)
-    return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad_id")) & F.col("_fp").eqNullSafe(F.col("_bad_fp")), "left_anti").select(*docs.columns)
+    found = find_hits(docs.select(col(key).alias("id"), F.xxhash64(col(text)).alias("fp"), col(text).alias("text")), benchmark, "text", **more)
+    bad_id, bad_fp = free_name(docs.columns, "_bad_id"), free_name(docs.columns, "_bad_fp")
+    bad = written(found.filter("contaminated").select(F.col("id").alias(bad_id), F.col("fp").alias(bad_fp)).distinct(), "contaminated")
+    return without(docs, bad, col(key).eqNullSafe(F.col(bad_id)) & F.xxhash64(col(text)).eqNullSafe(F.col(bad_fp)))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **more) -> DataFrame:
@@ -112,14 +111,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **mo
 
     A column clean_text is added. Null texts stay null.
     """
-    found = find_hits(docs.withColumn("_text", F.col(text)), benchmark, text, **more)
+    whole, odd, parts = (free_name([*docs.columns, *_RESULT, "clean_text"], x) for x in ("_text", "_odd", "_parts"))
+    found = find_hits(docs.withColumn(whole, col(text)), benchmark, text, **more)
     word = r"[A-Za-z0-9\x{80}-\x{10FFFF}]+"
-    parts = F.regexp_extract_all("_text", F.lit(f"{word}|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
-    odd = F.when(F.col("_text").rlike(f"^{word}"), 0).otherwise(1)
+    cut = F.regexp_extract_all(whole, F.lit(f"{word}|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
     covered = lambda i: F.exists("windows", lambda x: (i >= x["start"]) & (i < x["start"] + x["len"]))
-    at = lambda i: ((i - F.col("_odd")) / 2).cast("int")
-    is_word = lambda i: F.pmod(i + F.col("_odd"), F.lit(2)) == 0
+    at = lambda i: ((i - F.col(odd)) / 2).cast("int")
+    is_word = lambda i: F.pmod(i + F.col(odd), F.lit(2)) == 0
     gone = lambda i: F.when(is_word(i), covered(at(i))).otherwise((i > 0) & F.exists("windows", lambda x: (at(i - 1) >= x["start"]) & (at(i - 1) < x["start"] + x["len"] - 1)))
-    clean = F.array_join(F.transform("_parts", lambda x, i: F.when(gone(i), "").otherwise(x)), "")
-    out = found.withColumn("_odd", odd).withColumn("_parts", parts).withColumn("clean_text", F.when(F.col("contaminated"), clean).otherwise(F.col("_text")))
-    return out.withColumn(text, F.col("_text")).drop("_text", "_odd", "_parts")
+    clean = F.array_join(F.transform(parts, lambda x, i: F.when(gone(i), "").otherwise(x)), "")
+    out = found.withColumn(odd, F.when(F.col(whole).rlike(f"^{word}"), 0).otherwise(1)).withColumn(parts, cut)
+    out = out.withColumn("clean_text", F.when(F.col("contaminated"), clean).otherwise(F.col(whole)))
+    return out.withColumn(text, F.col(whole)).drop(whole, odd, parts)
