@@ -1,10 +1,11 @@
 """Similarity join of texts by the Jaccard coefficient of their word n-grams, with Bayesian pruning.
 
-Texts with the same set of n-grams are one class from the start (copies are never paired). Each class has MinHash values, which are cut into bands;
-classes that agree in a band are joined into candidate components, and a pair of a link lies within one of them but for a chance stated at BANDS. Within a
-component (in blocks of bounded size, each pair of blocks in one task) all pairs are compared by their MinHash values, some at a time: a pair is
+Texts with the same set of n-grams are one class from the start (copies are never paired). Each class has MinHash values, which are cut into bands; the classes
+that agree in a band are a bucket, and a pair of a link is in one of them but for a chance stated at BANDS. Buckets are dealt as blocks of bounded size, each pair of
+blocks in one task, and a pair of classes is taken up only in the first band it agrees in. Its MinHash values are compared some at a time: the pair is
 dropped once the posterior probability that its coefficient reaches the threshold, given the matches so far and a uniform prior, is
-below TOLERANCE. The others are verified exactly, on their n-grams. What leaves a task are counts of links and a spanning forest, never the pairs.
+below TOLERANCE. Only rows with a pair that is left get their n-grams, on which these pairs are verified exactly. What leaves a task are counts of links and
+a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER_BYTE, WORD_BYTE, join_by_hot_key, small_batches, written
+from marlstone.llm.common import LOWER_BYTE, WORD_BYTE, col, free_name, join_by_hot_key, small_batches, without, written
 from marlstone.llm.graph import components
 
 #: Words of an n-gram, least coefficient of a link.
@@ -28,8 +29,8 @@ WORDS, THRESHOLD = 5, Fraction(4, 5)
 BANDS, ROWS = 28, 5
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 14, 1e-6
-#: Classes, and bytes of their n-grams, in a block.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 24 << 20
+#: Classes, and bytes of their n-grams, in a block of a bucket.
+BLOCK_ROWS, BLOCK_BYTES = 256, 24 << 20
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -110,10 +111,10 @@ def set_key(grams: np.ndarray) -> bytes | None:
 
 
 def minhash(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash values (32 bits each) of sets that aren't empty, a row for each."""
+    """MinHash values of sets that aren't empty, a row for each. 16 bits of a value are kept: unequal ones agree by chance once in 65,536 cases, which prunes a little less."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    return np.stack([(np.minimum.reduceat(flat * a + b, starts) >> _U(32)).astype(np.uint32) for a, b in zip(_A, _B, strict=True)], 1)
+    return np.stack([(np.minimum.reduceat(flat * a + b, starts) >> _U(48)).astype(np.uint16) for a, b in zip(_A, _B, strict=True)], 1)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -139,37 +140,55 @@ def least_matches(threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE,
     return out
 
 
-def links_between(a: list[np.ndarray], b: list[np.ndarray] | None, va: np.ndarray, vb: np.ndarray | None, threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, all j that it links to): pairs within a (i < j) if b is null, else of a and b. Sets are sorted; v are their MinHash values."""
-    own = b is None
-    b, vb = (a, va) if own else (b, vb)
-    stages = least_matches(threshold, tolerance)
-    size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    codes, code = np.unique(np.concatenate([*a, *b] if not own else a), return_inverse=True)
-    cuts = np.cumsum([0, *size_a, *([] if own else size_b)])
-    code_a = [code[cuts[i] : cuts[i + 1]] for i in range(len(a))]
-    code_b = code_a if own else [code[cuts[len(a) + i] : cuts[len(a) + i + 1]] for i in range(len(b))]
-    mark = np.zeros(len(codes), bool)
+_STAGES = least_matches()
+
+
+def candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, band: int, stages: list[tuple[int, int]] = _STAGES, threshold: Fraction = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of two blocks of a bucket, or of one (i < j) if b is null, that are left after pruning; rising in i.
+
+    A block has v (MinHash values) and n (sizes of sets). A pair that agrees in a band before this one is that band's.
+    """
+    own, b = b is None, a if b is None else b
     num, den = threshold.numerator, threshold.denominator
-    for i in range(len(a)):
-        j = np.arange(i + 1, len(b)) if own else np.arange(len(b))
-        j = j[np.minimum(size_a[i], size_b[j]) * den >= num * np.maximum(size_a[i], size_b[j])]
-        same, done = np.zeros(len(j), np.int64), 0
-        for n, least in stages:
-            if not len(j):
-                break
-            same = same + (vb[j, done:n] == va[i, done:n]).sum(1)
-            stay = same >= least
-            j, same, done = j[stay], same[stay], n
-        if not len(j):
-            continue
-        mark[code_a[i]] = True
-        starts = np.cumsum([0, *size_b[j[:-1]]])
-        common = np.add.reduceat(mark[np.concatenate([code_b[x] for x in j])], starts, dtype=np.int64)
-        mark[code_a[i]] = False
-        linked = j[common * den >= num * (size_a[i] + size_b[j] - common)]
+    small, large = np.minimum.outer(a["n"], b["n"]), np.maximum.outer(a["n"], b["n"])
+    open_ = small * den >= num * large
+    if own:
+        open_ &= np.arange(len(a["n"]))[:, None] < np.arange(len(a["n"]))
+    i, j = np.nonzero(open_)
+    va, vb = a["v"].reshape(-1, BANDS, ROWS), b["v"].reshape(-1, BANDS, ROWS)
+    stay = (va[i, band] == vb[j, band]).all(1)
+    i, j = i[stay], j[stay]
+    for k in range(0, band, 4):
+        stay = ~(va[i, k : min(k + 4, band)] == vb[j, k : min(k + 4, band)]).all(2).any(1)
+        i, j = i[stay], j[stay]
+    same, done = np.zeros(len(i), np.int64), 0
+    for n, least in stages:
+        if not len(i):
+            break
+        same = same + (a["v"][i, done:n] == b["v"][j, done:n]).sum(1)
+        stay = same >= least
+        i, j, same, done = i[stay], j[stay], same[stay], n
+    return i, j
+
+
+def verified(a: list[np.ndarray], b: list[np.ndarray] | None, i: np.ndarray, j: np.ndarray, threshold: Fraction = THRESHOLD) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j that it links to) among the pairs (i, j), which rise in i. Sets are sorted; null b stands for a."""
+    num, den = threshold.numerator, threshold.denominator
+    codes, code = np.unique(np.concatenate(a if b is None else [*a, *b]), return_inverse=True)
+    cuts = np.cumsum([0, *map(len, a), *([] if b is None else map(len, b))])
+    at = lambda x, off: code[cuts[x + off] : cuts[x + off + 1]]
+    off = 0 if b is None else len(a)
+    mark = np.zeros(len(codes), bool)
+    for x in np.unique(i):
+        lo, hi = np.searchsorted(i, [x, x + 1])
+        js = j[lo:hi]
+        sizes = cuts[js + off + 1] - cuts[js + off]
+        mark[at(x, 0)] = True
+        common = np.add.reduceat(mark[np.concatenate([at(y, off) for y in js])], np.cumsum([0, *sizes[:-1]]), dtype=np.int64)
+        mark[at(x, 0)] = False
+        linked = js[common * den >= num * (cuts[x + 1] - cuts[x] + sizes - common)]
         if len(linked):
-            yield i, linked
+            yield int(x), linked
 
 
 def _signed(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -194,99 +213,144 @@ def _signed(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def _grams(df: DataFrame) -> DataFrame:
-    """label, blocks, c, v, text -> the same with the n-grams (packed) for the text."""
+    """c, text -> c and the n-grams (packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = gram_sets(b.column(4))
-            if [set_key(s) for s in sets] != b.column(2).to_pylist():
+            sets = gram_sets(b.column(1))
+            if [set_key(s) for s in sets] != b.column(0).to_pylist():
                 raise ValueError("the texts gave other rows when they were read again: write them to a table first")
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["label", "blocks", "c", "v", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "grams"])
 
-    return df.select("label", "blocks", "c", "v", "_text").mapInArrow(run, "label binary, blocks int, c binary, v binary, grams binary")
+    return df.select("c", "_text").mapInArrow(run, "c binary, grams binary")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by pair of blocks -> c, links (how many this pair of blocks adds), root (of c in this pair's links)."""
-    schema = pa.schema([("c", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
-    key, rows = None, []
+_KEY = ["band", "at", "i", "j"]
+_KEY_DDL = "band bigint, at int, i int, j int"
 
-    def out() -> pa.RecordBatch:
-        left = [r for r in rows if r["own"] == key[1]]
-        right = None if key[1] == key[2] else [r for r in rows if r["own"] != key[1]]
-        sets = lambda rs: [np.frombuffer(r["grams"], _U) for r in rs]
-        values = lambda rs: np.stack([np.frombuffer(r["v"], np.uint32) for r in rs])
-        every = left + (right or [])
-        count, root = np.zeros(len(every), np.int64), np.arange(len(every))
 
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict], list[dict] | None]]:
+    """Rows sorted by _KEY -> the key, the rows of block i, and those of block j (null if it is the same block)."""
+    key, rows = None, []
 
-        if left and (right is None or right):
-            for i, j in links_between(sets(left), None if right is None else sets(right), values(left), None if right is None else values(right)):
-                at = j if right is None else j + len(left)
-                count[i] += len(at)
-                count[at] += 1
-                top = find(i)
-                for x in np.unique([find(int(y)) for y in at]):
-                    if x != top:
-                        root[x] = top
-        some = np.flatnonzero(count)
-        return pa.RecordBatch.from_arrays([pa.array([every[i]["c"] for i in some], pa.binary()), pa.array(count[some]), pa.array([every[find(int(i))]["c"] for i in some], pa.binary())], schema=schema)
+    def out():
+        left = [r for r in rows if r["own"] == key[2]]
+        return key, left, None if key[2] == key[3] else [r for r in rows if r["own"] != key[2]]
 
     for b in batches:
         for r in b.to_pylist():
-            now = (r["label"], r["i"], r["j"])
+            now = (r["band"], r["at"], r["i"], r["j"])
             if now != key:
-                if key is not None:
+                if len(rows) > 1:
                     yield out()
                 key, rows = now, []
             rows.append(r)
-    if key is not None:
+    if len(rows) > 1:
         yield out()
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with _uid, the number of each row, from a table: later scans may be split otherwise, but find the same numbers."""
-    return written(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
+def _block(rows: list[dict]) -> dict[str, np.ndarray]:
+    v = np.frombuffer(b"".join(r["v"] for r in rows), np.uint16).reshape(len(rows), -1)
+    return {"v": v, "n": np.array([r["n"] for r in rows])}
+
+
+def _pairs(left: list[dict], right: list[dict] | None, at: int) -> tuple[np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
+    return candidates(_block(left), None if right is None else _block(right), at) if left and (right is None or right) else (none, none)
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of docs: the key, class_id, n_links, n_copies, first, _uid (its number in numbered(docs), or docs' own if it has that column).
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pairs of blocks -> those that are in a pair which is left."""
+    ddl = pa.schema([("band", pa.int64()), ("at", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("c", pa.binary()), ("v", pa.binary()), ("n", pa.int64())])
+    out: list[dict] = []
+    for key, left, right in _groups(batches):
+        i, j = _pairs(left, right, key[1])
+        if len(i):
+            out += [left[x] for x in np.unique(np.concatenate([i, j]) if right is None else i)] + ([] if right is None else [right[x] for x in np.unique(j)])
+        if len(out) >= 4096:
+            yield pa.RecordBatch.from_pylist(out, schema=ddl)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=ddl)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pairs of blocks with n-grams -> c, links (how many this pair of blocks adds), root (of c in this pair's links)."""
+    schema = pa.schema([("c", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
+    cs: list[bytes] = []
+    links: list[int] = []
+    roots: list[bytes] = []
+    for key, left, right in _groups(batches):
+        i, j = _pairs(left, right, key[1])
+        every = left + (right or [])
+        count, root = np.zeros(len(every), np.int64), list(range(len(every)))
+
+        def find(x: int, root: list[int] = root) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        sets = lambda rs: [np.frombuffer(r["grams"], _U) for r in rs]
+        for x, ys in verified(sets(left), None if right is None else sets(right), i, j) if len(i) else ():
+            at = ys if right is None else ys + len(left)
+            count[x] += len(at)
+            count[at] += 1
+            top = find(x)
+            for y in at.tolist():
+                root[find(y)] = top
+        for x in np.flatnonzero(count).tolist():
+            cs.append(every[x]["c"])
+            links.append(int(count[x]))
+            roots.append(every[find(x)]["c"])
+        if len(cs) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], schema=schema)
+            cs, links, roots = [], [], []
+    if cs:
+        yield pa.RecordBatch.from_arrays([pa.array(cs, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], schema=schema)
+
+
+def numbered(docs: DataFrame, uid: str = "_uid") -> DataFrame:
+    """docs with the number of each row in a column uid, from a table: later scans may be split otherwise, but find the same numbers."""
+    return written(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", uid: str | None = None) -> DataFrame:
+    """For each row of docs: the key, class_id, n_links, n_copies, first, _uid (its number in numbered(docs), or what the column uid of docs has).
 
     n_copies is the number of rows with the same set of n-grams, itself included; n_links the number of other such sets that link to its own (coefficient at least
     THRESHOLD). class_id is the smallest key in the component of links; first tells one row of each component (that of the smallest key; null keys come last).
     Texts of fewer words than an n-gram have one, of all their words; texts without words (null, empty) are alone: their class is their key. An empty
-    table gives none. Repeated rows are copies. docs is read once, and numbered and written then; if it has _uid, it must be a table. A lost executor costs recomputation only: intermediate tables are in the shared folder.
+    table gives none. Repeated rows are copies. Other columns of docs, whatever their names, take no part. docs is read once, and numbered and written then; with
+    uid, it must be a table that numbered() wrote. A lost executor costs recomputation only: intermediate tables are in the shared folder.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs if "_uid" in docs.columns else numbered(docs.select(*dict.fromkeys([key, text])))
-    rows = docs.select("_uid", F.col(key).alias("_key"), F.col(text).alias("_text"))
+    if uid is None:
+        docs, uid = numbered(docs.select(col(key).alias("_key"), col(text).alias("_text"))), "_uid"
+        rows = docs
+    else:
+        rows = docs.select(col(uid).alias("_uid"), col(key).alias("_key"), col(text).alias("_text"))
     signed = written(_signed(rows, "_text", ["_uid", "_key"]), "signed")
     # Nulls last: a struct compares by its fields in turn.
     order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_uid").alias("uid"))
     classes = written(signed.filter("c is not null").groupBy("c").agg(F.min(order).alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("v").alias("v"), F.first("bands").alias("bands")), "classes")
-    bands = classes.select("c", F.explode("bands").alias("band"))
-    shared = written(bands.groupBy("band").agg(F.count("*").alias("size"), F.min("c").alias("root")).filter("size > 1"), "buckets")
-    edges = join_by_hot_key(bands, shared, "band", "size").filter("root is not null and root <> c").select(F.col("c").alias("a"), F.col("root").alias("b"))
-    parts = written(components(edges), "parts")
-    members = parts.withColumnRenamed("node", "c").join(classes.select("c", "n", "v", F.col("rep.uid").alias("_uid")), "c")
-    members = written(members, "members")
-    sizes = members.groupBy("label").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes"))
-    sizes = written(sizes.select("label", "size", F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "sizes")
-    members = join_by_hot_key(members, sizes, "label", "size").select("label", "blocks", "c", "v", "_uid")
-    # One text of each class that has a candidate partner, by the row's number in the table.
-    full = written(_grams(members.join(rows.select("_uid", "_text"), "_uid")), "grams")
+    bands = classes.select("c", "n", F.posexplode("bands").alias("at", "band"))
+    # A band's key holds the band's number, so that a bucket's rows have one position.
+    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes")).filter("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    shared = written(shared.select("band", "size", blocks.alias("blocks")), "buckets")
+    members = join_by_hot_key(bands, shared, "band", "size").filter("blocks is not null").join(classes.select("c", "v"), "c")
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    pair = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = pair.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "v", "grams")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pair = pair.repartition(n, "label", "i", "j").sortWithinPartitions("label", "i", "j")
-    links = written(pair.mapInArrow(_compare, "c binary, links bigint, root binary"), "links")
+    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("band", "at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "v", "n")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
+    near = written(dealt(members).mapInArrow(_prune, f"{_KEY_DDL}, own int, c binary, v binary, n bigint"), "near")
+    # One text of each class that is in a pair, by the row's number in the table.
+    asked = written(near.select("c").distinct().join(classes.select("c", F.col("rep.uid").alias("_uid"), F.lit(1).alias("n")), "c"), "asked")
+    grams = written(_grams(join_by_hot_key(rows.select("_uid", "_text"), asked, "_uid", "n").filter("c is not null")), "grams")
+    links = written(dealt(near.join(grams, "c")).mapInArrow(_compare, "c binary, links bigint, root binary"), "links")
     counts = links.groupBy("c").agg(F.sum("links").alias("n_links"))
     groups = components(links.filter("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b")))
     known = classes.select("c", "rep", "n_copies").join(counts, "c", "left").join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
@@ -301,7 +365,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are first in their component, as they are."""
-    rows = numbered(docs)
-    verdicts = written(join(rows, key, text).filter(~F.col("first")).select(F.col("_uid").alias("_drop")), "dropped")
-    return rows.join(verdicts, F.col("_uid") == F.col("_drop"), "left_anti").select(*docs.columns)
+    """The rows of docs that are first in their component, as they are, whatever the names of their columns.
+
+    Null and empty texts stay, an empty table gives none, of repeated rows one stays. Rows are numbered once, in a table that the last scan reads too.
+    """
+    uid = free_name(docs.columns, "_uid")
+    rows = numbered(docs, uid)
+    drop = free_name([*docs.columns, uid], "_drop")
+    gone = written(join(rows, key, text, uid).filter(~F.col("first")).select(F.col("_uid").alias(drop)), "dropped")
+    return without(rows, gone, F.col(uid) == F.col(drop)).select(*map(col, docs.columns))

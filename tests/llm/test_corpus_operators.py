@@ -46,6 +46,10 @@ def test_token_counts(spark):
         t = texts[r.doc_id] or ""
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), len(sp.encode(t)), len(sp.encode(t)) > 4096), t[:40]
     assert token_counts.count_tokens(docs(spark, texts).limit(0), SPM).count() == 0
+    # The longest lengths that the table of frequent pre-tokens may have to hold, and words that are too long for it.
+    wide = ["\U00010348" * 64 + " " + "\U0001F9FF" * 64, "\U00010348" * 64, "\U00010348" * 65 + " x", "a" * 300_000, None]
+    for r in token_counts.count_tokens(docs(spark, wide * 2), SPM, capacity=50).collect():
+        assert r.n_tokens == len(sp.encode(wide[r.doc_id % 5] or ""))
     assert token_counts.additive(SPM)
 
 
@@ -144,6 +148,65 @@ def test_decontamination(spark):
     assert none.filter("contaminated").count() == 0 and none.count() == len(texts)
 
 
+CLASH = ["_id", "_FP", "_Uid", "_DROP", "_kept", "_words", "_bad_id", "_Text", "H", "len", "win", "ids", "c", "v", "label", "a.b"]
+
+
+def clashing(spark, texts):
+    """Documents with further columns whose names the operators use within."""
+    rows = [(i, t, *(f"{c}{i}" for c in CLASH)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASH))
+
+
+def test_filters_keep_columns(spark):
+    """What filters keep are rows as they are, whatever their columns are called."""
+    rng = random.Random(21)
+    texts = [prose(rng, 40, 5000) for _ in range(6)] + ["", None]
+    texts += [texts[0], texts[1].upper(), "x " + " ".join(texts[2].split()[1:])]
+    df = clashing(spark, texts)
+    want = {tuple(r) for r in df.collect()}
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} == {r for r in want if r[0] < 8}
+    bench = spark.createDataFrame([(1, texts[3])], "item_id long, text string")
+    clean = decontaminate.remove_documents(df, bench)
+    assert clean.columns == df.columns and {tuple(r) for r in clean.collect()} == {r for r in want if r[0] != 3}
+    spans = decontaminate.remove_spans(df, bench).collect()
+    assert {tuple(r[c] for c in df.columns) for r in spans} == want
+    assert ngram_join.keep_one(df.limit(0)).count() == decontaminate.remove_documents(df.limit(0), bench).count() == 0
+
+
+def test_shuffled_where_keys_are_many(spark, monkeypatch):
+    """Beyond the bound of a broadcast the rows are the same."""
+    from marlstone.llm import common
+
+    rng = random.Random(22)
+    texts = [prose(rng, 40, 5000) for _ in range(12)]
+    texts += texts[:6] + [f"zz {t[3:]}" for t in texts[:4]]
+    df = clashing(spark, texts)
+    few = [{r.doc_id for r in ngram_join.keep_one(df).collect()}, sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(df).collect())]
+    monkeypatch.setattr(common, "MOST_KEYS", 1)
+    assert few == [{r.doc_id for r in ngram_join.keep_one(df).collect()}, sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(df).collect())]
+    bench = spark.createDataFrame([(1, texts[3]), (2, texts[5])], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.remove_documents(df, bench).collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, [(1, texts[3]), (2, texts[5])])[1]}
+
+
+def test_ngram_join_blocks(spark, monkeypatch):
+    """A bucket of many blocks gives each link once, and no more than a block's rows of either side to a comparison."""
+    rng = random.Random(23)
+    base = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    texts = []
+    for k in range(90):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            t[rng.randrange(len(t))] = f"z{k}"
+        texts.append(" ".join(t))
+    whole = sorted(map(tuple, ngram_join.join(docs(spark, texts)).select("doc_id", "class_id", "n_links", "n_copies").collect()))
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    assert sorted(map(tuple, ngram_join.join(docs(spark, texts)).select("doc_id", "class_id", "n_links", "n_copies").collect())) == whole
+    sets = [frozenset(zip(*(w[i:] for i in range(5)), strict=False)) for w in map(words, texts)]
+    for i, _, n, _ in whole:
+        assert n == len({s for s in sets if s != sets[i] and 5 * len(s & sets[i]) >= 4 * len(s | sets[i])})
+
+
 def test_decontaminated_spans(spark):
     bench = spark.createDataFrame([(1, "alpha beta, gamma")], "item_id long, text string")
     rows = decontaminate.remove_spans(docs(spark, ["Say: Alpha beta Gamma! Done.", "alpha beta", None]), bench).orderBy("doc_id").collect()
