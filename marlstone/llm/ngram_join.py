@@ -2,10 +2,10 @@
 
 Texts with the same set of n-grams are one class from the start (copies are never paired). Each class has MinHash values, which are cut into bands; the classes
 that agree in a band are a bucket, and a pair of a link is in one of them but for a chance stated at BANDS. Buckets are dealt as blocks of bounded size, each pair of
-blocks in one task, and a pair of classes is taken up only in the first band it agrees in. Its MinHash values are compared some at a time: the pair is
-dropped once the posterior probability that its coefficient reaches the threshold, given the matches so far and a uniform prior, is
-below TOLERANCE. Only rows with a pair that is left get their n-grams, on which these pairs are verified exactly. What leaves a task are counts of links and
-a spanning forest, never the pairs.
+blocks in one task. There the MinHash values of a pair are compared some at a time: the pair is dropped once the posterior probability that its coefficient reaches the
+threshold, given the matches so far and a uniform prior, is below TOLERANCE. What is left joins classes into groups, which hold all pairs of a link, and a group's classes
+get their n-grams. Within a group, again by blocks, pairs that pass the same comparison are verified exactly. What leaves a task are counts of links and a spanning
+forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ WORDS, THRESHOLD = 5, Fraction(4, 5)
 BANDS, ROWS = 28, 5
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 14, 1e-6
-#: Classes, and bytes of their n-grams, in a block of a bucket.
-BLOCK_ROWS, BLOCK_BYTES = 256, 24 << 20
+#: Classes in a block of a bucket; classes, and bytes of their n-grams, in a block of a group.
+BUCKET_ROWS, BLOCK_ROWS, BLOCK_BYTES = 1024, 256, 24 << 20
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -59,28 +59,51 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of a string array, in order, and where each text begins among them. Null is empty.
+#: Bytes that are hashed at once.
+SEGMENT = 4 << 20
+
 
-    A word's hash is a polynomial of its bytes, made from differences of running sums for all words of a batch at once.
+def run_hashes(data: np.ndarray, inside_of: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each run of bytes that inside_of marks, and where it starts. Texts begin at the edges; no run goes beyond one.
+
+    A hash is a polynomial of the bytes, made from differences of running sums for all runs of a segment at once; segments end between runs.
     """
+    hashes, starts, lo = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
+    while lo < len(data):
+        hi = lo + SEGMENT
+        while hi < len(data) and inside_of[data[hi]]:
+            gaps = np.flatnonzero(~inside_of[data[hi : hi + 4096]])
+            hi += int(gaps[0]) if len(gaps) else 4096
+        part = data[lo:hi]
+        inside = np.concatenate([inside_of[part], [False]])
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        cuts = edges[np.searchsorted(edges, lo) : np.searchsorted(edges, lo + len(part))] - lo
+        begins[cuts] = inside[cuts]
+        first = np.flatnonzero(begins)
+        ends = ~inside
+        ends[1:][begins[1:] & inside[:-1]] = True  # a text's first word ends the last of the text before
+        stops = np.flatnonzero(ends)
+        stops = stops[np.searchsorted(stops, first, "right")]
+        up, down = _powers(len(part) + 1)
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTES[part] * up[: len(part)])])
+        hashes.append(_mix((sums[stops] - sums[first]) * down[first] + (stops - first).astype(_U)))
+        starts.append(first + lo)
+        lo += len(part)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string array's texts, A-Z lower-cased, and where each text begins among them, then the end. Null is empty."""
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    data = LOWER_BYTE[np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
-    offsets = offsets - offsets[0]
-    inside = np.concatenate([WORD_BYTE[data], [False]])
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < offsets[1:]]
-    begins[edges] = inside[edges]
-    starts = np.flatnonzero(begins)
-    ends = ~inside
-    ends[1:][begins[1:] & inside[:-1]] = True  # a text's first word ends the last of the text before
-    stops = np.flatnonzero(ends)
-    stops = stops[np.searchsorted(stops, starts, "right")]
-    up, down = _powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTES[data] * up[: len(data)])])
-    hashes = _mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(_U))
+    return LOWER_BYTE[np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]], offsets - offsets[0]
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a string array, in order, and where each text begins among them. Null is empty."""
+    data, offsets = lowered(column)
+    hashes, starts = run_hashes(data, WORD_BYTE, offsets[:-1][offsets[:-1] < offsets[1:]])
     return hashes, np.searchsorted(starts, offsets)
 
 
@@ -143,34 +166,48 @@ def least_matches(threshold: Fraction = THRESHOLD, tolerance: float = TOLERANCE,
 _STAGES = least_matches()
 
 
-def candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, band: int, stages: list[tuple[int, int]] = _STAGES, threshold: Fraction = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of two blocks of a bucket, or of one (i < j) if b is null, that are left after pruning; rising in i.
-
-    A block has v (MinHash values) and n (sizes of sets). A pair that agrees in a band before this one is that band's.
-    """
-    own, b = b is None, a if b is None else b
-    num, den = threshold.numerator, threshold.denominator
-    small, large = np.minimum.outer(a["n"], b["n"]), np.maximum.outer(a["n"], b["n"])
-    open_ = small * den >= num * large
-    if own:
-        open_ &= np.arange(len(a["n"]))[:, None] < np.arange(len(a["n"]))
-    i, j = np.nonzero(open_)
-    va, vb = a["v"].reshape(-1, BANDS, ROWS), b["v"].reshape(-1, BANDS, ROWS)
-    stay = (va[i, band] == vb[j, band]).all(1)
-    i, j = i[stay], j[stay]
-    for k in range(0, band, 4):
-        stay = ~(va[i, k : min(k + 4, band)] == vb[j, k : min(k + 4, band)]).all(2).any(1)
-        i, j = i[stay], j[stay]
+def _left(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, stages: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of rows of MinHash values that aren't pruned."""
     same, done = np.zeros(len(i), np.int64), 0
     for n, least in stages:
         if not len(i):
             break
-        same = same + (a["v"][i, done:n] == b["v"][j, done:n]).sum(1)
+        same = same + (a[i, done:n] == b[j, done:n]).sum(1)
         stay = same >= least
         i, j, same, done = i[stay], j[stay], same[stay], n
     return i, j
 
 
+def connected(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, stages: list[tuple[int, int]] = _STAGES, threshold: Fraction = THRESHOLD) -> np.ndarray:
+    """A label for each row of a block of a bucket, or of two: rows of a pair that isn't pruned have one. A block has v (MinHash values) and n (sizes of sets).
+
+    Pairs that others have connected already aren't compared, so that a bucket of near copies takes about as many comparisons as it has rows.
+    """
+    v = a["v"] if b is None else np.concatenate([a["v"], b["v"]])
+    n = a["n"] if b is None else np.concatenate([a["n"], b["n"]])
+    num, den = threshold.numerator, threshold.denominator
+    label = np.arange(len(n))
+    for x in range(len(a["n"])):
+        j = np.arange(x + 1 if b is None else len(a["n"]), len(n))
+        j = j[(label[j] != label[x]) & (np.minimum(n[x], n[j]) * den >= num * np.maximum(n[x], n[j]))]
+        _, j = _left(v, v, np.full(len(j), x), j, stages)
+        if len(j):
+            gone = np.zeros(len(n), bool)
+            gone[label[j]] = True
+            label[gone[label]] = label[x]
+    return label
+
+
+def candidates(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, stages: list[tuple[int, int]] = _STAGES, threshold: Fraction = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of two blocks, or of one (i < j) if b is null, that aren't pruned; rising in i."""
+    own, b = b is None, a if b is None else b
+    num, den = threshold.numerator, threshold.denominator
+    open_ = np.minimum.outer(a["n"], b["n"]) * den >= num * np.maximum.outer(a["n"], b["n"])
+    if own:
+        open_ &= np.arange(len(a["n"]))[:, None] < np.arange(len(a["n"]))
+    return _left(a["v"], b["v"], *np.nonzero(open_), stages)
+
+
 def verified(a: list[np.ndarray], b: list[np.ndarray] | None, i: np.ndarray, j: np.ndarray, threshold: Fraction = THRESHOLD) -> Iterator[tuple[int, np.ndarray]]:
     """(i, all j that it links to) among the pairs (i, j), which rise in i. Sets are sorted; null b stands for a."""
     num, den = threshold.numerator, threshold.denominator
@@ -225,53 +262,51 @@ def _grams(df: DataFrame) -> DataFrame:
     return df.select("c", "_text").mapInArrow(run, "c binary, grams binary")
 
 
-_KEY = ["band", "at", "i", "j"]
-_KEY_DDL = "band bigint, at int, i int, j int"
+_KEY = ["group", "i", "j"]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict], list[dict] | None]]:
-    """Rows sorted by _KEY -> the key, the rows of block i, and those of block j (null if it is the same block)."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[dict] | None]]:
+    """Rows sorted by _KEY -> for each pair of blocks the rows of block i, and those of block j (null if it is the same block)."""
     key, rows = None, []
 
     def out():
-        left = [r for r in rows if r["own"] == key[2]]
-        return key, left, None if key[2] == key[3] else [r for r in rows if r["own"] != key[2]]
+        left = [r for r in rows if r["own"] == key[1]]
+        right = None if key[1] == key[2] else [r for r in rows if r["own"] != key[1]]
+        if len(left) > 1 if right is None else left and right:
+            yield left, right
 
     for b in batches:
         for r in b.to_pylist():
-            now = (r["band"], r["at"], r["i"], r["j"])
+            now = (r["group"], r["i"], r["j"])
             if now != key:
-                if len(rows) > 1:
-                    yield out()
+                if rows:
+                    yield from out()
                 key, rows = now, []
             rows.append(r)
-    if len(rows) > 1:
-        yield out()
-
+    if rows:
+        yield from out()
 
-def _block(rows: list[dict]) -> dict[str, np.ndarray]:
-    v = np.frombuffer(b"".join(r["v"] for r in rows), np.uint16).reshape(len(rows), -1)
-    return {"v": v, "n": np.array([r["n"] for r in rows])}
 
+def _block(rows: list[dict] | None) -> dict[str, np.ndarray] | None:
+    if rows is None:
+        return None
+    return {"v": np.frombuffer(b"".join(r["v"] for r in rows), np.uint16).reshape(len(rows), -1), "n": np.array([r["n"] for r in rows])}
 
-def _pairs(left: list[dict], right: list[dict] | None, at: int) -> tuple[np.ndarray, np.ndarray]:
-    none = np.zeros(0, np.int64)
-    return candidates(_block(left), None if right is None else _block(right), at) if left and (right is None or right) else (none, none)
 
-
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of pairs of blocks -> those that are in a pair which is left."""
-    ddl = pa.schema([("band", pa.int64()), ("at", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("own", pa.int32()), ("c", pa.binary()), ("v", pa.binary()), ("n", pa.int64())])
-    out: list[dict] = []
-    for key, left, right in _groups(batches):
-        i, j = _pairs(left, right, key[1])
-        if len(i):
-            out += [left[x] for x in np.unique(np.concatenate([i, j]) if right is None else i)] + ([] if right is None else [right[x] for x in np.unique(j)])
-        if len(out) >= 4096:
-            yield pa.RecordBatch.from_pylist(out, schema=ddl)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema=ddl)
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pairs of blocks of buckets -> a, b: edges of a forest that connects what isn't pruned."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    edges: tuple[list, list] = ([], [])
+    for left, right in _groups(batches):
+        every = left + (right or [])
+        label = connected(_block(left), _block(right))
+        for x in np.flatnonzero(label != np.arange(len(every))).tolist():
+            edges[0].append(every[x]["c"])
+            edges[1].append(every[int(label[x])]["c"])
+        if len(edges[0]) >= 8192:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in edges], schema=schema)
+            edges = ([], [])
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in edges], schema=schema)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +315,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cs: list[bytes] = []
     links: list[int] = []
     roots: list[bytes] = []
-    for key, left, right in _groups(batches):
-        i, j = _pairs(left, right, key[1])
+    for left, right in _groups(batches):
+        i, j = candidates(_block(left), _block(right))
         every = left + (right or [])
         count, root = np.zeros(len(every), np.int64), list(range(len(every)))
 
@@ -335,22 +370,32 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", uid: str | No
     # Nulls last: a struct compares by its fields in turn.
     order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_uid").alias("uid"))
     classes = written(signed.filter("c is not null").groupBy("c").agg(F.min(order).alias("rep"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("v").alias("v"), F.first("bands").alias("bands")), "classes")
-    bands = classes.select("c", "n", F.posexplode("bands").alias("at", "band"))
-    # A band's key holds the band's number, so that a bucket's rows have one position.
-    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes")).filter("size > 1")
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    shared = written(shared.select("band", "size", blocks.alias("blocks")), "buckets")
-    members = join_by_hot_key(bands, shared, "band", "size").filter("blocks is not null").join(classes.select("c", "v"), "c")
-    own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("band", "at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "v", "n")
+    bands = classes.select("c", F.explode("bands").alias("band"))
+    of = lambda seed: F.bit_xor(F.xxhash64("c", F.lit(seed)))
+    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("c").alias("least"), of(1).alias("x"), of(2).alias("y")).filter("size > 1")
+    # Buckets of the same classes give the same: one of them is enough.
+    shared = shared.groupBy("size", "least", "x", "y").agg(F.min("band").alias("band"))
+    shared = written(shared.select("band", "size", F.ceil(F.col("size") / BUCKET_ROWS).cast("int").alias("blocks")), "buckets")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda df: df.repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
-    near = written(dealt(members).mapInArrow(_prune, f"{_KEY_DDL}, own int, c binary, v binary, n bigint"), "near")
-    # One text of each class that is in a pair, by the row's number in the table.
-    asked = written(near.select("c").distinct().join(classes.select("c", F.col("rep.uid").alias("_uid"), F.lit(1).alias("n")), "c"), "asked")
-    grams = written(_grams(join_by_hot_key(rows.select("_uid", "_text"), asked, "_uid", "n").filter("c is not null")), "grams")
-    links = written(dealt(near.join(grams, "c")).mapInArrow(_compare, "c binary, links bigint, root binary"), "links")
+
+    def by_blocks(df: DataFrame, *columns: str) -> DataFrame:
+        """Rows of groups (with their number of blocks), each with every pair of blocks that its own is in."""
+        df = df.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        df = df.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", *columns)
+        return df.repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
+
+    inside = join_by_hot_key(bands, shared, "band", "size").filter("blocks is not null").select(F.col("band").alias("group"), "blocks", "c")
+    near = by_blocks(inside.join(classes.select("c", "v", "n"), "c"), "v", "n").mapInArrow(_connect, "a binary, b binary")
+    near = written(components(written(near, "near")), "near_groups")
+    sizes = near.join(classes.select(F.col("c").alias("node"), "n"), "node").groupBy("label").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes"))
+    sizes = written(sizes.select("label", "size", F.ceil(F.greatest(F.col("size") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "sizes")
+    members = join_by_hot_key(near, sizes, "label", "size").select(F.col("node").alias("c"), F.col("label").alias("group"), "blocks")
+    members = written(members.join(classes.select("c", "n", "v", F.col("rep.uid").alias("_uid"), F.lit(1).alias("one")), "c"), "members")
+    # One text of each class, by the row's number in the table.
+    asked = written(members.select("_uid", "c", "one"), "asked")
+    grams = written(_grams(join_by_hot_key(rows.select("_uid", "_text"), asked, "_uid", "one").filter("c is not null")), "grams")
+    links = by_blocks(members.join(grams, "c"), "v", "n", "grams").mapInArrow(_compare, "c binary, links bigint, root binary")
+    links = written(links, "links")
     counts = links.groupBy("c").agg(F.sum("links").alias("n_links"))
     groups = components(links.filter("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b")))
     known = classes.select("c", "rep", "n_copies").join(counts, "c", "left").join(groups.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
