@@ -94,6 +94,17 @@ def without(rows: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
     return rows.join(F.broadcast(gone) if gone.limit(MOST_KEYS + 1).count() <= MOST_KEYS else gone, on, "left_anti")
 
 
+def even_slot(spark: SparkSession, number: Column, parts: int) -> Column:
+    """A column by which repartition(parts, column) deals rows of equal number (from 0) to one task and numbers 0 .. parts - 1 to a task each.
+
+    A hash of the number itself would leave some tasks empty and give others several.
+    """
+    tried = spark.range(16 * parts + 64).select(F.col("id").cast("int").alias("x"))
+    found = {r.part: r.x for r in tried.groupBy(F.pmod(F.hash("x"), F.lit(parts)).alias("part")).agg(F.min("x").alias("x")).collect()}
+    values = [found.get(i, i) for i in range(parts)]  # as many numbers as tasks
+    return F.element_at(F.lit(values).cast("array<int>"), (F.pmod(number, F.lit(parts)) + 1).cast("int")) if parts > 1 else F.lit(0)
+
+
 def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, count: str, most: int = 1000) -> DataFrame:
     """Left join of rows with one row per key (groups, whose column count tells how many rows have it), whatever the skew.
 

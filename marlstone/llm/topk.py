@@ -1,10 +1,11 @@
 """Exact top-k by inner product, without random access to the lists.
 
-Candidates are dealt out into blocks of bounded size. A block has one list for each dimension, sorted by value. For a query, the lists
-are read from their good ends in step, to growing depths: what a candidate has shown so far gives a lower bound of its score (what it
-has not shown counts as the list's worst value) and an upper bound (what it has not shown counts as the value where the reading stands). Once no candidate
-whose upper bound is below the k-th best lower bound can qualify, the reading stops; the scores of those that still can are resolved.
-The k-th best score so far is carried from block to block. Blocks of queries meet blocks of candidates, and no row meets a row in a join.
+Candidates are dealt out into blocks of bounded size. A block has one list for each dimension, sorted by value; lists are made once and kept in a table. For a query, the
+lists are read from their good ends in step: what a candidate has shown so far gives a lower bound of its score (what it has not shown counts as the
+list's worst value) and an upper bound (what it has not shown counts as the value where the reading stands). The reading stops when no outsider, seen or not, can be
+among the k best: all whose upper bound is below the k-th best score known. Those that still can are few then, and their final scores are resolved; where the lists
+are read to their ends, the bounds are the scores. The k-th best score is carried from block to block. Blocks of queries meet blocks of candidates, and no row
+meets a row in a join.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import small_batches, written
+from marlstone.llm.common import even_slot, small_batches, written
 
 #: Rows of a block of candidates and of queries; blocks of candidates that one task reads in a row.
-BLOCK, QUERIES, RUN = 8192, 512, 16
-#: Depths of the lists, as parts of their length, at which bounds are compared.
-DEPTHS = (0.25, 0.5)
+BLOCK, QUERIES, RUN = 8192, 1024, 4
+#: Steps in which a list is read; the reading stops with so many candidates left for each of the k, or with this part of the block.
+STEPS, FEW, FEW_PART = 32, 2, 64
 
 
 def quantise(vector: Column, scale: int = 64) -> Column:
@@ -30,75 +31,123 @@ def quantise(vector: Column, scale: int = 64) -> Column:
     return F.when(ok, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
-def _blocks(df: DataFrame, rows: int, of: str) -> tuple[DataFrame, int]:
-    """Vectors packed into at most so many rows a block on average: dim, block, ids, data (64-bit integers, row by row)."""
-    count = df.count()
-    n = max(1, -(-count // rows))
+def _dealt(df: DataFrame, rows: int, of: str, pack, ddl: str) -> tuple[DataFrame, int]:
+    """The vectors of a dimension in blocks of at most so many rows on average, each packed into one row by pack(ids, matrix)."""
+    n = max(1, -(-df.count() // rows))
     dealt = df.withColumn(of, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
 
-    def pack(keys, table):
-        ids = table.column("vec_id").combine_chunks()
+    def run(keys, table):
+        ids = table.column("vec_id").combine_chunks().to_numpy(zero_copy_only=False).astype("<i8")
         values = table.column("v").combine_chunks()
-        flat = (values.flatten() if not isinstance(values, pa.ChunkedArray) else values.combine_chunks().flatten()).to_numpy(zero_copy_only=False).astype("<i8")
-        ids = np.asarray(ids.to_numpy(zero_copy_only=False), "<i8")
-        return pa.table({"dim": pa.array([keys[0].as_py()], pa.int32()), of: pa.array([keys[1].as_py()], pa.int32()), f"{of}_ids": pa.array([ids.tobytes()], pa.binary()), f"{of}_data": pa.array([flat.tobytes()], pa.binary())})
+        matrix = values.flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(len(ids), -1)
+        return pa.table({"dim": pa.array([keys[0].as_py()], pa.int32()), of: pa.array([keys[1].as_py()], pa.int32()), **{k: pa.array([x], pa.int32() if k == "bytes" else pa.binary()) for k, x in pack(ids, matrix).items()}})
 
-    return dealt.groupBy("dim", of).applyInArrow(pack, f"dim int, {of} int, {of}_ids binary, {of}_data binary"), n
+    return dealt.groupBy("dim", of).applyInArrow(run, f"dim int, {of} int, {ddl}"), n
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In the smallest signed type that holds it."""
+    low, high = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    return x.astype(next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def pack_lists(ids: np.ndarray, matrix: np.ndarray) -> dict:
+    """A block's lists: rows by rising value and the values, dimension by dimension. Rows are numbered by rising id, so that ties go by row."""
+    order = np.argsort(ids, kind="stable")
+    ids, matrix = ids[order], matrix[order]
+    rows = np.argsort(matrix, axis=0, kind="stable").T
+    values = _narrow(np.take_along_axis(matrix, rows.T, 0).T)
+    return {"ids": ids.tobytes(), "rows": np.ascontiguousarray(rows, "<u4" if len(ids) > 1 << 16 else "<u2").tobytes(), "values": np.ascontiguousarray(values).tobytes(), "bytes": values.dtype.itemsize}
 
 
 class Lists:
-    """A block of candidates: for each dimension the values in rising order and the rows that have them."""
-
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        order = np.argsort(ids, kind="stable")  # a smaller row is a smaller id: ties go by row
-        self.ids, self.matrix = ids[order], np.ascontiguousarray(matrix[order])
-        small = not self.matrix.size or np.abs(self.matrix).max() < 1 << 20
-        self.exact = self.matrix.astype(np.float64) if small and self.matrix.shape[1] < 4096 else None  # sums below 2^53 are exact
-        self.rows = np.ascontiguousarray(np.argsort(self.matrix, axis=0, kind="stable").T)
-        self.values = np.ascontiguousarray(np.take_along_axis(self.matrix, self.rows.T, 0).T)
-
-    def candidates(self, query: np.ndarray, k: int, least: int | None, own: np.ndarray) -> np.ndarray:
-        """Rows that may be among the k best of at least the score `least`; own marks rows that take no part."""
+    """A block of candidates: for each dimension the values in rising order and the rows that have them. Counts what is read of them."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, values: np.ndarray):
+        n = len(ids)
+        self.ids, self.rows = ids, rows.astype(np.intp)
+        exact = not values.size or (max(abs(int(values.min())), abs(int(values.max()))) < 1 << 20 and len(values) < 4096)
+        self.values = values.astype(np.float64 if exact else np.int64)  # sums of floats below 2^53 are exact
+        self.depths = np.unique(np.ceil(n * np.arange(1, STEPS + 1) / STEPS).astype(int))
+        self.vectors = np.empty((n, len(values)), self.values.dtype)  # for the candidates that are left
+        np.put_along_axis(self.vectors, self.rows.T, self.values.T, 0)
+        self.hint = 0
+        self.read = self.resolved = self.asked = 0
+
+    @classmethod
+    def unpack(cls, dim: int, ids: bytes, rows: bytes, values: bytes, size: int) -> Lists:
+        ids_ = np.frombuffer(ids, "<i8")
+        shape = dim, len(ids_)
+        return cls(ids_, np.frombuffer(rows, "<u4" if len(ids_) > 1 << 16 else "<u2").reshape(shape), np.frombuffer(values, f"<i{size}").reshape(shape))
+
+    @classmethod
+    def of(cls, ids: np.ndarray, matrix: np.ndarray) -> Lists:
+        p = pack_lists(ids, matrix)
+        return cls.unpack(matrix.shape[1], p["ids"], p["rows"], p["values"], p["bytes"])
+
+    def _sum(self, rows: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+        """Of each row the sum of its weights among the entries read."""
+        rows_, weights_ = np.concatenate(rows, axis=None), np.concatenate(weights, axis=None)
+        if weights_.dtype == np.float64:
+            return np.bincount(rows_, weights_, len(self.ids))
+        out = np.zeros(len(self.ids), np.int64)
+        np.add.at(out, rows_, weights_)
+        return out
+
+    def best(self, query: np.ndarray, k: int, bar: int | None, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows, ties to the smaller id; scores below the bar may be left out. own marks rows that take no part."""
         n = len(self.ids)
-        dims = np.flatnonzero(query)
-        active = np.flatnonzero(~own)
-        if n <= 4 * k or not len(dims):
-            return active
-        up = query > 0
-        worst = int(sum(query[j] * (self.values[j, 0] if up[j] else self.values[j, -1]) for j in dims))
-        for part in DEPTHS:
-            depth = int(n * part)
-            lower, upper, limit = np.full(n, worst, np.int64), np.zeros(n, np.int64), 0
-            for j in dims:
-                q = int(query[j])
-                rows, values = (self.rows[j, n - depth :], self.values[j, n - depth :]) if up[j] else (self.rows[j, :depth], self.values[j, :depth])
-                front, bad = (int(values[0]), int(self.values[j, 0])) if up[j] else (int(values[-1]), int(self.values[j, -1]))
-                shown = q * values
-                lower[rows] += shown - q * bad
-                upper[rows] += shown - q * front
-                limit += q * front
-            best, had = lower[active], len(active)
-            bar = int(np.partition(best, had - k)[had - k]) if had >= k else None
-            if least is not None:
-                bar = least if bar is None else max(bar, least)
+        self.asked += 1
+        open_ = np.flatnonzero(~own)
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        if not len(open_) or not len(up) + len(down):
+            return self.ids[open_[:k]], np.zeros(min(k, len(open_)), np.int64)  # nothing to read: all scores are nought
+        exact = self.values.dtype == np.float64 and int(np.abs(query).max()) < 1 << 20
+        values = self.values if exact else self.values.astype(np.int64)
+        dims = np.concatenate([up, down])
+        q = query[dims].astype(values.dtype)
+        rising = np.arange(len(dims)) < len(up)
+        worst = np.concatenate([values[up, 0], values[down, -1]])
+        fronts = lambda d: np.concatenate([values[up, n - d], values[down, d - 1]])
+        last, few = len(self.depths) - 1, max(FEW * k, n // FEW_PART)
+        # Before this step candidates that haven't been seen at all could still qualify, or there is no score to compare with.
+        step = last if bar is None else min(last, next((s for s, d in enumerate(self.depths) if fronts(d) @ q < bar), last))
+        step = max(step, min(self.hint, last))
+        first, lists, scores = step, True, None
+        while True:
+            d = int(self.depths[step])
+            front = fronts(d)
+            if lists:
+                rows = [self.rows[up, n - d :], self.rows[down, :d]]
+                seen = [values[up, n - d :], values[down, :d]]
+                halves = [q[: len(up), None], q[len(up) :, None]]
+                upper = (self._sum(rows, [h * (v - f) for h, v, f in zip(halves, seen, (front[: len(up), None], front[len(up) :, None]), strict=True)]) + front @ q)[open_]
+                lower = upper if d == n else None
+                if bar is None and d < n:
+                    lower = (self._sum(rows, [h * (v - f) for h, v, f in zip(halves, seen, (worst[: len(up), None], worst[len(up) :, None]), strict=True)]) + worst @ q)[open_]
+            else:  # of the few that are open, what has been read
+                v = self.vectors[open_][:, dims].astype(values.dtype)
+                shown = np.where(rising, v >= front, v <= front)
+                upper, lower = np.where(shown, v, front) @ q, np.where(shown, v, worst) @ q
+            if lower is not None and len(open_) >= k:
+                kth = int(np.partition(lower, len(lower) - k)[len(lower) - k])
+                bar = kth if bar is None else max(bar, kth)
             if bar is not None:
-                active = active[upper[active] + limit >= bar]
-            if len(active) <= max(4 * k, n // 8) or len(active) > 0.99 * had:
-                break  # few are left, or the lists don't tell candidates apart: resolving is cheaper than reading on
-        return active
-
-    def best(self, query: np.ndarray, k: int, least: int | None, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, ties to the smaller id; scores below `least` may be left out."""
-        rows = self.candidates(query, k, least, own)
-        if self.exact is None or np.abs(query).max(initial=0) >= 1 << 20 or len(rows) * 2 < len(self.ids):
-            scores = self.matrix[rows] @ query
-        else:
-            scores = (self.exact @ query.astype(np.float64)).astype(np.int64)[rows]
-        if len(rows) > k:  # none below the k-th score is in the result
-            some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-            rows, scores = rows[some], scores[some]
-        top = np.lexsort((rows, -scores))[:k]
-        return self.ids[rows[top]], scores[top]
+                stay = upper >= bar
+                open_, upper = open_[stay], upper[stay]
+            if d == n:
+                scores = upper.astype(np.int64)
+            if d == n or len(open_) <= few:
+                break
+            lists = len(open_) > n // 8
+            step += 1
+        self.hint = max(0, step - 1) if step == first else step
+        self.read += len(dims) * int(self.depths[step])
+        if scores is None:
+            self.resolved += len(open_)
+            scores = (self.vectors[open_][:, dims].astype(values.dtype) @ q).astype(np.int64)
+        top = np.lexsort((open_, -scores))[:k]
+        return self.ids[open_[top]], scores[top]
 
 
 def _merge(ids: np.ndarray, scores: np.ndarray, more: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,39 +171,43 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     small_batches(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     some = lambda df: df.filter("vec_id is not null and v is not null").select("vec_id", F.size("v").alias("dim"), "v")
-    asked, n_asked = _blocks(some(queries).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.size("v").alias("dim"), "v"), QUERIES, "q")
-    given, n_given = _blocks(some(candidates), BLOCK, "c")
-    # Packed blocks are few and large; each block of candidates goes to every block of queries.
-    asked = written(asked, "queries")
-    given = written(given, "candidates").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).withColumn("run", F.floor(F.col("c") / RUN).cast("int"))
+    ddl = "ids binary, rows binary, values binary, bytes int"
+    pack_queries = lambda ids, matrix: {"ids": ids.tobytes(), "rows": b"", "values": matrix.tobytes(), "bytes": 8}
+    asked, n_asked = _dealt(some(queries).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.size("v").alias("dim"), "v"), QUERIES, "q", pack_queries, ddl)
+    given, n_given = _dealt(some(candidates), BLOCK, "c", pack_lists, ddl)
+    # Blocks are few and large; each block of lists goes to every block of queries, which comes first in its task.
     runs = -(-n_given // RUN)
-    asked = asked.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_asked * runs, 4096))
-    meet = given.join(asked, ["dim", "q", "run"]).repartition(parts, "dim", "q", "run").sortWithinPartitions("dim", "q", "run", "c")
-    names = ["dim", "q", "run", "c", "c_ids", "c_data", "q_ids", "q_data"]
+    asked = written(asked, "queries").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("c", F.lit(-1))
+    given = written(given, "lists").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).withColumn("run", F.floor(F.col("c") / RUN).cast("int"))
+    names = ["dim", "q", "run", "c", "ids", "rows", "values", "bytes"]
+    parts = max(1, min(n_asked * runs, 4096))
+    slot = even_slot(spark, F.col("q") * runs + F.col("run"), parts)
+    meet = asked.select(*names).unionByName(given.select(*names)).withColumn("slot", slot).repartition(parts, "slot").sortWithinPartitions("dim", "q", "run", "c")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, q_ids, vectors, best = None, None, None, []
+        key, q_ids, vectors, best = None, np.zeros(0, "<i8"), None, []
 
         def out() -> pa.RecordBatch:
             n = [len(x) for x, _ in best]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([x for x, _ in best])), pa.array(np.concatenate([s for _, s in best]))], schema=_OUT)
+            flat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(flat([x for x, _ in best])), pa.array(flat([s for _, s in best]))], schema=_OUT)
 
         for b in batches:
             for r in b.to_pylist():
                 if key != (r["dim"], r["q"], r["run"]):
                     if key is not None:
                         yield out()
-                    key = (r["dim"], r["q"], r["run"])
-                    q_ids = np.frombuffer(r["q_ids"], "<i8")
-                    vectors = np.frombuffer(r["q_data"], "<i8").reshape(len(q_ids), -1)
+                    key, q_ids, best = (r["dim"], r["q"], r["run"]), np.zeros(0, "<i8"), []
+                if r["c"] < 0:
+                    q_ids = np.frombuffer(r["ids"], "<i8")
+                    vectors = np.frombuffer(r["values"], "<i8").reshape(len(q_ids), -1)
                     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
-                ids = np.frombuffer(r["c_ids"], "<i8")
-                lists = Lists(ids, np.frombuffer(r["c_data"], "<i8").reshape(len(ids), -1))
-                for i, q in enumerate(q_ids):
-                    have = best[i]
-                    least = int(have[1][k - 1]) if len(have[1]) >= k else None
-                    best[i] = _merge(*have, lists.best(vectors[i], k, least, lists.ids == q), k)
+                elif len(q_ids):
+                    lists = Lists.unpack(r["dim"], r["ids"], r["rows"], r["values"], r["bytes"])
+                    for i, q in enumerate(q_ids):
+                        have = best[i]
+                        bar = int(have[1][k - 1]) if len(have[1]) >= k else None
+                        best[i] = _merge(*have, lists.best(vectors[i], k, bar, lists.ids == q), k)
         if key is not None:
             yield out()
 
