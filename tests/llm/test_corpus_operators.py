@@ -201,6 +201,7 @@ def test_ngram_join_blocks(spark, monkeypatch):
         texts.append(" ".join(t))
     whole = sorted(map(tuple, ngram_join.join(docs(spark, texts)).select("doc_id", "class_id", "n_links", "n_copies").collect()))
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 12)
     assert sorted(map(tuple, ngram_join.join(docs(spark, texts)).select("doc_id", "class_id", "n_links", "n_copies").collect())) == whole
     sets = [frozenset(zip(*(w[i:] for i in range(5)), strict=False)) for w in map(words, texts)]
     for i, _, n, _ in whole:
@@ -274,34 +275,79 @@ def test_pruning_keeps_links():
     assert (far[:, : stages[1][0]].sum(1) >= stages[1][1]).mean() < 0.05
 
 
-def test_language_model(spark):
+def counted_model(tokens):
+    """The model of lists of tokens, in plain counts: a function from a list to the log10 probabilities of its tokens."""
+    c = Counter(w for t in tokens for w in t)
+    pairs = Counter(p for t in tokens for p in zip(["<begin>", *t], t, strict=False))
+    threes = Counter(x for t in tokens for x in zip(["<begin>", *t], t, t[1:], strict=False))
+    after, kinds2, kinds3 = Counter(), Counter(), Counter()
+    total2, total3 = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        total2[a] += n
+        kinds2[a] += 1
+        after[b] += 1
+    for (a, b, _), n in threes.items():
+        total3[a, b] += n
+        kinds3[a, b] += 1
+
+    def logs(t):
+        out = []
+        for i, w in enumerate(t):
+            v = t[i - 1] if i else "<begin>"
+            p = (after[w] + 0.1) / (len(pairs) + 0.1 * (len(c) + 1))
+            if total2[v]:
+                p = max(pairs[v, w] - 0.75, 0) / total2[v] + 0.75 * kinds2[v] / total2[v] * p
+            if i:
+                u = t[i - 2] if i > 1 else "<begin>"
+                if total3[u, v]:
+                    p = max(threes[u, v, w] - 0.75, 0) / total3[u, v] + 0.75 * kinds3[u, v] / total3[u, v] * p
+            out.append(math.log10(p))
+        return out
+
+    return c, logs
+
+
+def test_language_model(spark, monkeypatch):
     rng = random.Random(8)
-    texts = [prose(rng, 50, 30) for _ in range(40)] + ["", None, "unseen words only", "A b\x0bc  d", "the cat sat", "the cat sat"]
+    texts = [prose(rng, 50, 30) for _ in range(40)] + ["", None, "unseen words only", "A b\x0bc  d", "the cat sat", "the cat sat", "w1 w2 unseen w3 w1 w2", "w1 w2 " * 3000]
     df = docs(spark, texts).withColumn("held", F.col("doc_id") % 5 == 0)
-    rows = ngram_lm.score(df, ngram_lm.train(df.filter("not held"))).collect()
     tok = {i: re.findall(r"[^\x20\x09-\x0D]+", lower_ascii(t or "")) + [None] for i, t in enumerate(texts)}
-    train = [i for i in tok if i % 5]
-    c = Counter(w for i in train for w in tok[i])
-    pairs = Counter(p for i in train for p in zip(tok[i], tok[i][1:], strict=False))
-    total, kinds = Counter(), Counter()
-    for (a, _), n in pairs.items():
-        total[a] += n
-        kinds[a] += 1
+    c, logs = counted_model([tok[i] for i in tok if i % 5])
     n, v = sum(c.values()), len(c)
-    single = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
-    for r in rows:
-        t = tok[r.doc_id]
-        s = math.log10(single(t[0]))
-        for a, b in zip(t, t[1:], strict=False):
-            s += math.log10(max(pairs[a, b] - 0.75, 0) / total[a] + 0.75 * kinds[a] / total[a] * single(b)) if kinds[a] else math.log10(single(b))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10(single(w)) for w in t)) and abs(r.score - s) <= 0.2 * len(t)
+    first = None
+    for fan_in, tokens, bytes_ in ((256, 1 << 20, 4 << 20), (2, 7, 100)):  # counts of many tasks, long texts in pieces
+        monkeypatch.setattr(ngram_lm, "FAN_IN", fan_in)
+        monkeypatch.setattr(ngram_lm, "MOST_TOKENS", tokens)
+        monkeypatch.setattr(ngram_lm, "TEXT_BYTES", bytes_)
+        rows = ngram_lm.score(df, ngram_lm.train(df.filter("not held"))).collect()
+        for r in rows:
+            t = tok[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
+            assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
+            assert abs(r.score - sum(logs(t))) <= 0.01 * len(t), texts[r.doc_id]
+        assert first is None or first == pytest.approx([r.score for r in sorted(rows, key=lambda r: r.doc_id)])
+        first = [r.score for r in sorted(rows, key=lambda r: r.doc_id)]
     nothing = ngram_lm.score(df, ngram_lm.train(df.limit(0))).collect()
     assert all(r.base_score == 0 and r.n_known == 0 for r in nothing)
     assert ngram_lm.score(df.limit(0), ngram_lm.train(df)).count() == 0
 
 
-@pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 1), (5, 9), (1000, 10**4), (3000, 10**9), (500, 500)])
+def test_packed_counts_and_codes():
+    """Counts are packed and unpacked as they were; codes keep up to 256 values."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500), rng.integers(0, 1 << 20, 500)]).astype(np.uint64))
+    counts = rng.choice([1, 2, 254, 255, 256, 1 << 40], len(keys))
+    back = ngram_lm.unpack(*ngram_lm.pack(keys, counts))
+    assert (back[0] == keys).all() and (back[1] == counts).all()
+    values = rng.choice(np.arange(256) / 7, 5000)
+    codes, table = ngram_lm.quantised(values)
+    assert np.allclose(table[codes], values)
+    many = np.log10(rng.random(100_000))
+    codes, table = ngram_lm.quantised(many)
+    assert np.abs(table[codes] - many).max() <= (many.max() - many.min()) / 250
+
+
+@pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 1), (1, 10**17), (5, 9), (1000, 10**4), (3000, 10**9), (500, 500), (2000, 1 << 60)])
 def test_elias_fano(n, top):
     rng = np.random.default_rng(n)
     values = np.sort(rng.choice(top, n, replace=False) if top < 10**6 else np.unique(rng.integers(0, top, n)))[:n].astype(np.uint64)
@@ -330,15 +376,36 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df, 20).count() == 0 and topk.top_k(df.filter("vec_id < 3"), df.limit(0), 20).count() == 0
 
 
-def test_topk_prunes():
-    """Where vectors differ in scale, lists tell candidates apart and the reading stops with few left; the best are among them."""
+def test_topk_reads_lists(spark):
+    """Where vectors differ in scale, lists are read in part and few scores are resolved; in no case is more than a sixteenth of a block resolved."""
     rng = np.random.default_rng(1)
-    x = (rng.normal(size=(4000, 8)) * np.exp(rng.normal(size=(4000, 1)) * 1.5) * 20).astype(np.int64)
-    lists = topk.Lists(np.arange(4000), x)
-    q = x[np.argmax((x**2).sum(1))]
-    rows = lists.candidates(q, 5, None, np.zeros(4000, bool))
-    best = set(np.argsort(-(x @ q), kind="stable")[:5].tolist())
-    assert best <= set(rows.tolist()) and len(rows) < 2000
+    for x in ((rng.normal(size=(4000, 8)) * np.exp(rng.normal(size=(4000, 1)) * 1.5) * 20).astype(np.int64), rng.normal(0, 8, (4000, 64)).astype(np.int64)):
+        lists = topk.Lists.of(np.arange(4000), x)
+        for i in range(0, 4000, 400):
+            scores = x @ x[i]
+            own = np.arange(4000) == i
+            want = [j for j in np.lexsort((np.arange(4000), -scores)).tolist() if j != i][:20]
+            ids, got = lists.best(x[i], 20, None, own)
+            assert ids.tolist() == want and got.tolist() == scores[want].tolist()
+            bar = int(got[9])
+            ids, got = lists.best(x[i], 20, bar, own)
+            assert ids[:10].tolist() == want[:10] and got[:10].tolist() == scores[want[:10]].tolist()
+        assert 0 < lists.read < 20 * 4000 * x.shape[1] and lists.resolved <= 20 * 4000 // topk.FEW_PART
+    assert lists.read < 0.95 * 20 * 4000 * 64
+
+
+def test_topk_odd_values(spark):
+    """Values beyond exact floats, nought queries, repeated ids, equal vectors."""
+    big = [1 << 40, -(1 << 41), 3]
+    rows = [(i, [x * (i % 5) for x in big]) for i in range(60)] + [(7, big), (7, big), (80, [0, 0, 0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.top_k(df.filter("vec_id % 20 = 0"), df, 4).collect()
+    for q in (0, 20, 40, 80):
+        v = next(v for i, v in rows if i == q)
+        want = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:4]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+    twice = df.filter("vec_id = 7").unionByName(spark.createDataFrame([(7, [0, 0, 1])], df.schema))
+    assert topk.top_k(twice, df.filter("vec_id < 3"), 2).count() == 2  # one query: of unequal vectors the smallest
 
 
 def test_toxicity(spark):
