@@ -1,16 +1,16 @@
 """Licence scans by a positional index of rare template words.
 
-The words of the licence templates are the index's vocabulary; a posting is (template, position). How many documents hold each such word is
-counted over the whole corpus, which gives its IDF. For a document, its licence words of highest IDF are looked up; postings that agree
-on the relative position (where the template would begin) vote for that alignment, allowing words put in or left out. An alignment with enough votes
-becomes a label if the template's mandatory phrase stands in the document near where the alignment has it; the score is the
-share of the template's words found in their places, which for a whole grant is 1. Phrases that stand on their own (base labels) are
-found in every text.
+Templates are the passages of licences and notices. Their words are the index's vocabulary; a posting is (template, position). How many documents hold each such word is
+counted over the whole corpus, which gives its IDF. For a document, the words of highest IDF that it shares with a template are looked up; all their postings vote for the
+place where the template would begin, and places that enough of these words agree on, within some words put in or left out, are alignments. An alignment becomes a label if
+the template's mandatory phrase stands there and at least half of the template's words stand in their order; the score is that share. Phrases that stand on
+their own (base labels) are found in every text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,30 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import LOWER_BYTE, WORD, WORD_BYTE, kept, lower_ascii, small_batches, texts, with_arrays
-
-#: Phrases that give a label wherever their words stand consecutively.
-BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-
-#: Label, words of the grant or notice as it is commonly written, mandatory phrase.
-TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
-    ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "terms of the gnu general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-]
-
-#: Licence words looked up for each occurrence region; how far two positions may slip; least share of votes.
-RAREST, SLACK, LEAST_SHARE = 12, 3, 0.5
+from marlstone.llm.common import LOWER_BYTE, WORD, WORD_BYTE, col, kept, lower_ascii, small_batches, texts, with_arrays
+from marlstone.llm.licence_texts import BASE, PASSAGES
+
+#: Words of highest IDF that vote for a template; how far two of them may slip against each other; least share of votes, and of words in order.
+RAREST, SLACK, LEAST_SHARE = 24, 3, 0.5
 
 _WORD = re.compile(WORD)
 
@@ -52,50 +33,77 @@ class Index:
     """Template words, their postings, and how rare they are in a corpus of n documents."""
 
     def __init__(self, counts: dict[str, int] | None = None, n: int = 0):
-        self.templates = [(label, words.split(), phrase.split()) for label, words, phrase in TEMPLATES]
+        self.templates = [(label, _WORD.findall(lower_ascii(text)), phrase.split()) for label, text, phrase in PASSAGES]
         self.postings: dict[str, list[tuple[int, int]]] = {}
         for t, (_, words, _) in enumerate(self.templates):
             for at, w in enumerate(words):
                 self.postings.setdefault(w, []).append((t, at))
         counts = counts or {}
         self.idf = {w: float(np.log((n + 1) / (counts.get(w, 0) + 1))) for w in self.postings}
+        self.rare = [sorted(set(words), key=lambda w: (-self.idf[w], w)) for _, words, _ in self.templates]
 
     def vocabulary(self) -> list[str]:
         return sorted(self.postings)
 
 
 def alignments(words: list[str], index: Index) -> list[tuple[int, int, float]]:
-    """(template, where it begins in the words, share of its words in place) for every verified alignment."""
+    """(template, where it begins in the words, share of its words that stand in their order) for every verified alignment."""
     where: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         if w in index.postings:
             where.setdefault(w, []).append(i)
-    rare = sorted(where, key=lambda w: (-index.idf[w], w))
     found = []
     for t, (_, text, phrase) in enumerate(index.templates):
-        own = [w for w in rare if any(p == t for p, _ in index.postings[w])][:RAREST]
-        if len(own) < max(2, LEAST_SHARE * min(RAREST, len(set(text)))):
+        if not all(w in where for w in phrase):
+            continue
+        own = [w for w in index.rare[t] if w in where][:RAREST]
+        least = max(2, LEAST_SHARE * min(RAREST, len(index.rare[t])))
+        if len(own) < least:
             continue
-        first = own[0]  # every alignment has the rarest word of the template that the document holds, or the second
-        starts: Counter = Counter()
-        for w in own[:2]:
-            for p in [at for x, at in index.postings[w] if x == t]:
-                starts.update(i - p for i in where[w])
-        done: list[int] = []
-        for start in sorted(starts, key=lambda s: (-starts[s], s)):
-            if any(abs(start - s) <= SLACK for s in done):
-                continue
+        votes = sorted((i - at, w) for w in own for x, at in index.postings[w] if x == t for i in where[w])
+        taken: list[int] = []
+        for start in _agreed(votes, least):
+            if any(abs(start - s) < len(text) for s in taken):
+                continue  # another place of the same alignment
             low = max(0, start - SLACK)
             near = words[low : max(0, start + len(text) + SLACK)]
-            have = Counter(near)
-            placed = sum(1 for p, w in enumerate(text) if any(0 <= start + p + d < len(words) and words[start + p + d] == w for d in range(-SLACK, SLACK + 1)))
-            share = placed / len(text)
-            if have[first] + have[own[1]] and share >= LEAST_SHARE and _holds(near, phrase):
+            if _holds(near, phrase) and (share := in_order(text, near) / len(text)) >= LEAST_SHARE:
                 found.append((t, start, share))
-                done.append(start)
+                taken.append(start)
     return found
 
 
+def _agreed(votes: list[tuple[int, str]], least: float) -> list[int]:
+    """Places that at least so many distinct words vote for within SLACK, the most agreed on first."""
+    inside: Counter = Counter()
+    best: dict[int, int] = {}
+    lo = 0
+    for hi, (start, w) in enumerate(votes):
+        inside[w] += 1
+        while votes[lo][0] < start - SLACK:
+            inside[votes[lo][1]] -= 1
+            if not inside[votes[lo][1]]:
+                del inside[votes[lo][1]]
+            lo += 1
+        if len(inside) >= least:
+            middle = votes[(lo + hi) // 2][0]
+            best[middle] = max(best.get(middle, 0), len(inside))
+    return sorted(best, key=lambda s: (-best[s], s))
+
+
+def in_order(text: list[str], near: list[str]) -> int:
+    """Words of the text that stand in these words in its order: the longest common subsequence."""
+    at: dict[str, list[int]] = {}
+    for p in range(len(text) - 1, -1, -1):
+        at.setdefault(text[p], []).append(p)
+    ends: list[int] = []  # the least last position of a chain of each length
+    for w in near:
+        for p in at.get(w, ()):  # from the last on, so that a word extends a chain once
+            i = bisect_left(ends, p)
+            ends[i : i + 1] = [p]
+    return len(ends)
+
+
 def _holds(words: list[str], phrase: list[str]) -> bool:
     n = len(phrase)
     return any(words[i : i + n] == phrase for i in range(len(words) - n + 1))
@@ -148,7 +156,7 @@ def licence_word_counts(df: DataFrame, text: str = "text") -> tuple[dict[str, in
             counts[""] += b.num_rows
         yield pa.RecordBatch.from_pydict({"w": list(counts), "n": list(counts.values())}, schema=pa.schema([("w", pa.string()), ("n", pa.int64())]))
 
-    rows = df.select(text).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()  # as many rows as template words
+    rows = df.select(col(text)).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()  # as many rows as template words
     counts = {r.w: r.n for r in rows}
     return counts, counts.pop("", 0)
 
@@ -160,7 +168,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels (sorted, joined by commas; none: empty) and score to every row.
 
     first_word and last_word are the smallest and the largest start of a base phrase, null if there is none. score is the best share of a template's words in
-    place; a base phrase without an alignment has 0.5, a text without either 0. Texts are whole; null is empty. Repeated rows give
+    their order; a base phrase without an alignment has 0.5, a text without either 0. Texts are whole; null is empty. Repeated rows give
     repeated results; an empty table gives none. Columns of the input stay, but for those whose names are new ones'.
     """
     small_batches(df.sparkSession)
@@ -170,7 +178,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     keep = kept(df, names)
     columns = list(dict.fromkeys([*keep, text]))
     # A template's alignment holds its mandatory phrase, a base label its own; a text without the longest word of any is done once its words are counted.
-    needed = sorted({max(p.split(), key=len).encode() for p in [*BASE, *(phrase for _, _, phrase in TEMPLATES)]})
+    needed = sorted({max(p.split(), key=len).encode() for p in [*BASE, *(phrase for _, _, phrase in PASSAGES)]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(counts, n)
@@ -184,4 +192,4 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
             yield with_arrays(b, dict(zip(names, new, strict=True)), keep)
 
     fields = [df.schema[c] for c in keep] + [T.StructField(a, t) for a, t in zip(names, types, strict=True)]
-    return df.select(*columns).mapInArrow(run, T.StructType(fields))
+    return df.select(*map(col, columns)).mapInArrow(run, T.StructType(fields))

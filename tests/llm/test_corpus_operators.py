@@ -230,6 +230,58 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def brute_labels(text):
+    """Labels and best share: every template tried at every place, word by word."""
+    w = words(text)
+    labels, best = {v for k, v in licenses.BASE.items() if f" {k} " in f" {' '.join(w)} "}, 0.0
+    score = 0.5 if labels else 0.0
+    for label, t, phrase in licenses.PASSAGES:
+        t, n, top = words(t), len(words(t)), 0.0
+        if f" {phrase} " not in f" {' '.join(w)} ":
+            continue
+        for at in range(-licenses.SLACK, len(w)):
+            near = w[max(0, at - licenses.SLACK) : max(0, at + n + licenses.SLACK)]
+            if f" {phrase} " in f" {' '.join(near)} ":
+                row = [0] * (len(near) + 1)  # longest common subsequence
+                for x in t:
+                    last = row
+                    row = [0]
+                    for k, y in enumerate(near):
+                        row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+                top = max(top, row[-1] / n)
+        if top >= licenses.LEAST_SHARE:
+            labels.add(label)
+            best = max(best, top)
+    return ",".join(sorted(labels)), best or score
+
+
+def test_licenses_against_every_place(spark):
+    rng = random.Random(31)
+    texts = ["", None, "mit license", "no licence at all"]
+    for label, t, _ in licenses.PASSAGES:
+        w = t.split()
+        texts.append(prose(rng, 15) + "\n" + t)
+        cut = w[: int(len(w) * 0.8)]
+        texts.append(" ".join(cut) + " " + prose(rng, 10) + " deal restriction software copy permission notice license version")
+        if len(w) > 12:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), rng.choice(["software", "extra", "license"]))
+            w[rng.randrange(len(w))] = "changed"
+            texts.append(" ".join(w) + " " + prose(rng, 5) + " " + t)
+    texts.append(" ".join(t for _, t, _ in licenses.PASSAGES))
+    texts.append(f"{texts[4]} {texts[4]} {prose(rng, 20_000)}")  # a long one
+    for r in licenses.scan(docs(spark, texts)).collect():
+        if len(texts[r.doc_id] or "") < 8000:
+            labels, best = brute_labels(texts[r.doc_id])
+            # The place most agreed on is scored: stray words beyond it, which a place further on may take in, don't count.
+            assert r.labels == labels and best - 0.1 <= r.score <= best + 1e-9, texts[r.doc_id]
+        else:
+            assert r.labels and r.score == 1.0
+    grant = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+    rows = licenses.scan(docs(spark, [grant, grant + ". This is a good deal and no restriction holds."])).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["mit", "mit"] and rows[0].score == rows[1].score > 0.6
+
+
 def test_ngram_join(spark):
     rng = random.Random(7)
     base = prose(rng, 120, 5000).split(" ")
