@@ -279,7 +279,7 @@ def test_licenses_against_every_place(spark):
             assert r.labels and r.score == 1.0
     grant = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
     rows = licenses.scan(docs(spark, [grant, grant + ". This is a good deal and no restriction holds."])).orderBy("doc_id").collect()
-    assert [r.labels for r in rows] == ["mit", "mit"] and rows[0].score == rows[1].score > 0.6
+    assert [r.labels for r in rows] == ["mit", "mit"] and rows[1].score >= rows[0].score > 0.6
 
 
 def test_ngram_join(spark):
@@ -528,6 +528,75 @@ def test_quote_links_of_few_words(spark):
     assert [r.turn for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.position)] == [0, 2, 1, 3, 4]
 
 
+def linked(rows):
+    """Links and order by plain loops over all messages: (links of passages, reply, thread start, place) of each row."""
+    parsed = [quotes.parse(t or "") for _, _, t in rows]
+    own = [quotes.units(plain) for plain, _ in parsed]
+    n_linked, reply = [], []
+    for i, (conv, turn, _) in enumerate(rows):
+        found, best = set(), None
+        for p, (level, passage) in enumerate(parsed[i][1]):
+            for h, n in quotes.units(passage).items():
+                near = [rows[j][1] for j in range(len(rows)) if rows[j][0] == conv and rows[j][1] < turn and h in own[j]]
+                far = [rows[j][:2] for j in range(len(rows)) if rows[j][0] != conv and h in own[j]] if n >= quotes.LEAST_WORDS else []
+                if near or far:
+                    found.add(p)
+                if near and level == 1:
+                    best = max(best or (0, 0), (n, min(near)))
+        n_linked.append(len(found))
+        reply.append(best[1] if best else None)
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = {rows[i][1]: i for i in range(len(rows)) if rows[i][0] == conv}
+        place = 0
+
+        def walk(turn, start):
+            nonlocal place
+            place += 1
+            i = turns[turn]
+            out[conv, turn] = (n_linked[i], reply[i], start, place)
+            for child in sorted(t for t, j in turns.items() if reply[j] == turn):
+                walk(child, start)
+
+        for turn in sorted(t for t, i in turns.items() if reply[i] is None):
+            walk(turn, turn)
+    return out
+
+
+def test_quote_links_against_loops(spark):
+    """Generated mails that quote earlier ones, whole or in part, nested, from their own conversation or another."""
+    rng = random.Random(17)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.choice([1, 4, 15, 40])):
+            text = ". ".join(prose(rng, rng.choice([2, 6, 12]), 3000).replace("\n", " ").replace(".", "") for _ in range(rng.choice([1, 2, 3]))) + "."
+            parts = []
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                pool = said if said and rng.random() < 0.8 else [t for _, _, t in rows] or [text]
+                quoted = rng.choice(pool).split("\n")
+                parts.append("\n".join((">" if x.startswith(">") else "> ") + x for x in quoted if x))
+                if rng.random() < 0.5:
+                    parts.append(rng.choice(["Yes, thanks!", "I see."]))
+            if rng.random() < 0.5:
+                parts.reverse()
+            rows.append((conv, turn, "\n".join([*parts, text])))
+            said.append(rows[-1][2])
+    want = linked(rows)
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5)).collect()
+    assert {(r.conv_id, r.turn): (r.n_linked, r.reply_to, r.thread, r.position) for r in got} == want
+    assert sum(x[1] is not None for x in want.values()) > 50
+
+
+def test_quote_links_long_chain(spark):
+    """A conversation in which each message answers the last but one, and a message that hundreds answer."""
+    said = [f"message number {i} says something new w{i}" for i in range(300)]
+    rows = [(1, i, (f"> {said[i - 2]}\n" if i > 1 else "") + said[i]) for i in range(300)] + [(2, i, ("> a first word that all answer\n" if i else "a first word that all answer\n") + f"and {i}") for i in range(400)]
+    got = {(r.conv_id, r.turn): (r.thread, r.position) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert [got[1, i] for i in range(300)] == [(i % 2, i // 2 + 1 + 150 * (i % 2)) for i in range(300)]
+    assert [got[2, i] for i in range(400)] == [(0, i + 1) for i in range(400)]
+
+
 def test_toxicity_inserted_letters():
     """Insults with two letters put in, side by side or apart, or one in every gap, are found as the plain ones are; clean words are not."""
     rng = random.Random(13)
