@@ -21,8 +21,8 @@ from marlstone.llm.common import even_slot, small_batches, written
 
 #: Rows of a block of candidates and of queries; blocks of candidates that one task reads in a row.
 BLOCK, QUERIES, RUN = 8192, 1024, 4
-#: Steps in which a list is read; the reading stops with so many candidates left for each of the k, or with this part of the block.
-STEPS, FEW, FEW_PART = 32, 2, 64
+#: Steps in which a list is read; the reading stops with so many candidates left for each of the k, or with this part of the block; queries that read together.
+STEPS, FEW, FEW_PART, TOGETHER = 32, 2, 64, 64
 
 
 def quantise(vector: Column, scale: int = 64) -> Column:
@@ -65,13 +65,12 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, values: np.ndarray):
         n = len(ids)
-        self.ids, self.rows = ids, rows.astype(np.intp)
-        exact = not values.size or (max(abs(int(values.min())), abs(int(values.max()))) < 1 << 20 and len(values) < 4096)
-        self.values = values.astype(np.float64 if exact else np.int64)  # sums of floats below 2^53 are exact
+        self.ids, self.rows, self.values = ids, rows.astype(np.intp), np.ascontiguousarray(values)
         self.depths = np.unique(np.ceil(n * np.arange(1, STEPS + 1) / STEPS).astype(int))
-        self.vectors = np.empty((n, len(values)), self.values.dtype)  # for the candidates that are left
-        np.put_along_axis(self.vectors, self.rows.T, self.values.T, 0)
-        self.hint = 0
+        self.vectors = np.empty((n, len(values)), np.int64)  # for the candidates that are left
+        np.put_along_axis(self.vectors, self.rows.T, self.values.T.astype(np.int64), 0)
+        self.most = max(abs(int(values.min())), abs(int(values.max()))) if values.size else 0
+        self.hint = 3 * STEPS // 4  # where the reading of a query begins to compare bounds
         self.read = self.resolved = self.asked = 0
 
     @classmethod
@@ -85,67 +84,89 @@ class Lists:
         p = pack_lists(ids, matrix)
         return cls.unpack(matrix.shape[1], p["ids"], p["rows"], p["values"], p["bytes"])
 
-    def _sum(self, rows: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
-        """Of each row the sum of its weights among the entries read."""
-        rows_, weights_ = np.concatenate(rows, axis=None), np.concatenate(weights, axis=None)
-        if weights_.dtype == np.float64:
-            return np.bincount(rows_, weights_, len(self.ids))
-        out = np.zeros(len(self.ids), np.int64)
-        np.add.at(out, rows_, weights_)
+    def _fronts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each dimension the value where the reading stands, from above and from below."""
+        return self.values[:, len(self.ids) - depth].astype(np.int64), self.values[:, depth - 1].astype(np.int64)
+
+    def _upper(self, queries: np.ndarray, depth: int) -> np.ndarray:
+        """Upper bounds of all rows (a column for each query) once lists are read to a depth: entry by entry in the lists' order, for some queries together."""
+        n, whole = len(self.ids), depth == len(self.ids)
+        top, bottom = self._fronts(depth)
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        bound = 2 * self.most * int(np.abs(queries).max(initial=0)) * queries.shape[1]
+        kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64  # sums are exact
+        out = np.zeros((n, len(queries)), kind)
+        sides = [(queries, slice(0, n), np.zeros_like(top))] if whole else [(up, slice(n - depth, n), top), (down, slice(0, depth), bottom)]
+        for weights, part, front in sides:
+            weights = np.ascontiguousarray(weights.T, kind)
+            have, more = np.empty((depth, len(queries)), kind), np.empty((depth, len(queries)), kind)
+            for j in np.flatnonzero(weights.any(1)):
+                rows = self.rows[j, part]
+                shown = (self.values[j, part].astype(np.int64) - front[j]).astype(kind)
+                np.multiply(shown[:, None], weights[j], out=more)
+                np.take(out, rows, axis=0, out=have, mode="clip")  # several times as fast as adding in place
+                have += more
+                out[rows] = have
+        self.read += int((queries != 0).sum()) * depth
+        return out if whole else out + (up @ top + down @ bottom).astype(kind)
+
+    def best(self, queries: np.ndarray, k: int, bars: list[int | None], own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ids and scores of the k best rows, ties to the smaller id; scores below its bar may be left out. own are the rows that take no part."""
+        out: list = [None] * len(queries)
+        last = len(self.depths) - 1
+        self.asked += len(queries)
+        # Without a score to compare with, the bounds tell nobody apart before the lists' ends.
+        turns = [(last, [i for i, b in enumerate(bars) if b is None]), (min(self.hint, last), [i for i, b in enumerate(bars) if b is not None])]
+        few, late, easy = max(FEW * k, len(self.ids) // FEW_PART), 0, 0
+        while turns:
+            step, some = turns.pop()
+            again = []
+            upper = self._upper(queries[some], int(self.depths[step])) if some else None
+            for c, i in enumerate(some):
+                bound = upper[:, c].astype(np.int64)
+                live = np.ones(len(bound), bool)
+                live[own[i]] = False
+                if step < last:
+                    live &= bound >= bars[i]
+                open_ = np.flatnonzero(live)
+                if step < last and len(open_) > len(self.ids) // 8:
+                    again.append(i)  # outsiders could still qualify, seen ones or not
+                    continue
+                easy += step < last and len(open_) <= few
+                scores = bound[open_] if step == last else None
+                out[i] = self._finished(queries[i], k, bars[i], open_, scores, step, few)
+            if again:
+                late += len(again)
+                turns.append((min(last, step + 2), again))
+        known = sum(b is not None for b in bars)
+        self.hint = min(last, self.hint + 1) if 4 * late > known else max(0, self.hint - 1) if 2 * easy > known else self.hint
         return out
 
-    def best(self, query: np.ndarray, k: int, bar: int | None, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, ties to the smaller id; scores below the bar may be left out. own marks rows that take no part."""
-        n = len(self.ids)
-        self.asked += 1
-        open_ = np.flatnonzero(~own)
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        if not len(open_) or not len(up) + len(down):
-            return self.ids[open_[:k]], np.zeros(min(k, len(open_)), np.int64)  # nothing to read: all scores are nought
-        exact = self.values.dtype == np.float64 and int(np.abs(query).max()) < 1 << 20
-        values = self.values if exact else self.values.astype(np.int64)
-        dims = np.concatenate([up, down])
-        q = query[dims].astype(values.dtype)
-        rising = np.arange(len(dims)) < len(up)
-        worst = np.concatenate([values[up, 0], values[down, -1]])
-        fronts = lambda d: np.concatenate([values[up, n - d], values[down, d - 1]])
-        last, few = len(self.depths) - 1, max(FEW * k, n // FEW_PART)
-        # Before this step candidates that haven't been seen at all could still qualify, or there is no score to compare with.
-        step = last if bar is None else min(last, next((s for s, d in enumerate(self.depths) if fronts(d) @ q < bar), last))
-        step = max(step, min(self.hint, last))
-        first, lists, scores = step, True, None
-        while True:
-            d = int(self.depths[step])
-            front = fronts(d)
-            if lists:
-                rows = [self.rows[up, n - d :], self.rows[down, :d]]
-                seen = [values[up, n - d :], values[down, :d]]
-                halves = [q[: len(up), None], q[len(up) :, None]]
-                upper = (self._sum(rows, [h * (v - f) for h, v, f in zip(halves, seen, (front[: len(up), None], front[len(up) :, None]), strict=True)]) + front @ q)[open_]
-                lower = upper if d == n else None
-                if bar is None and d < n:
-                    lower = (self._sum(rows, [h * (v - f) for h, v, f in zip(halves, seen, (worst[: len(up), None], worst[len(up) :, None]), strict=True)]) + worst @ q)[open_]
-            else:  # of the few that are open, what has been read
-                v = self.vectors[open_][:, dims].astype(values.dtype)
-                shown = np.where(rising, v >= front, v <= front)
-                upper, lower = np.where(shown, v, front) @ q, np.where(shown, v, worst) @ q
-            if lower is not None and len(open_) >= k:
-                kth = int(np.partition(lower, len(lower) - k)[len(lower) - k])
-                bar = kth if bar is None else max(bar, kth)
-            if bar is not None:
-                stay = upper >= bar
-                open_, upper = open_[stay], upper[stay]
-            if d == n:
-                scores = upper.astype(np.int64)
-            if d == n or len(open_) <= few:
-                break
-            lists = len(open_) > n // 8
+    def _finished(self, query: np.ndarray, k: int, bar: int | None, open_: np.ndarray, scores: np.ndarray | None, step: int, few: int) -> tuple[np.ndarray, np.ndarray]:
+        """Reads on for the candidates that are open, until few are or the lists end; then resolves them."""
+        dims = np.flatnonzero(query)
+        q = query[dims]
+        worst = np.where(q > 0, self.values[dims, 0], self.values[dims, -1]).astype(np.int64)
+        while scores is None and len(open_) > few:
             step += 1
-        self.hint = max(0, step - 1) if step == first else step
-        self.read += len(dims) * int(self.depths[step])
+            top, bottom = self._fronts(int(self.depths[step]))
+            self.read += len(dims) * int(self.depths[step] - self.depths[step - 1])
+            front = np.where(q > 0, top[dims], bottom[dims])
+            v = self.vectors[open_][:, dims]
+            shown = np.where(q > 0, v >= front, v <= front)
+            upper, lower = np.where(shown, v, front) @ q, np.where(shown, v, worst) @ q
+            if len(open_) >= k:
+                bar = max(bar, int(np.partition(lower, len(lower) - k)[len(lower) - k]))
+            stay = upper >= bar
+            open_ = open_[stay]
+            if step == len(self.depths) - 1:
+                scores = upper[stay]
         if scores is None:
             self.resolved += len(open_)
-            scores = (self.vectors[open_][:, dims].astype(values.dtype) @ q).astype(np.int64)
+            scores = self.vectors[open_][:, dims] @ q
+        if len(open_) > 4 * k:  # none below the k-th score is in the result
+            high = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+            open_, scores = open_[high], scores[high]
         top = np.lexsort((open_, -scores))[:k]
         return self.ids[open_[top]], scores[top]
 
@@ -185,7 +206,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     meet = asked.select(*names).unionByName(given.select(*names)).withColumn("slot", slot).repartition(parts, "slot").sortWithinPartitions("dim", "q", "run", "c")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, q_ids, vectors, best = None, np.zeros(0, "<i8"), None, []
+        key, q_ids, vectors, best, hint = None, np.zeros(0, "<i8"), None, [], None
 
         def out() -> pa.RecordBatch:
             n = [len(x) for x, _ in best]
@@ -204,10 +225,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
                     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
                 elif len(q_ids):
                     lists = Lists.unpack(r["dim"], r["ids"], r["rows"], r["values"], r["bytes"])
-                    for i, q in enumerate(q_ids):
-                        have = best[i]
-                        bar = int(have[1][k - 1]) if len(have[1]) >= k else None
-                        best[i] = _merge(*have, lists.best(vectors[i], k, bar, lists.ids == q), k)
+                    lists.hint = lists.hint if hint is None else hint
+                    for lo in range(0, len(q_ids), TOGETHER):
+                        some = range(lo, min(lo + TOGETHER, len(q_ids)))
+                        bars = [int(best[i][1][k - 1]) if len(best[i][1]) >= k else None for i in some]
+                        own = [np.arange(*np.searchsorted(lists.ids, [q_ids[i], q_ids[i] + 1])) for i in some]
+                        for i, found in zip(some, lists.best(vectors[lo : some.stop], k, bars, own), strict=True):
+                            best[i] = _merge(*best[i], found, k)
+                    hint = lists.hint
         if key is not None:
             yield out()
 
