@@ -433,15 +433,16 @@ def test_topk_reads_lists(spark):
     rng = np.random.default_rng(1)
     for x in ((rng.normal(size=(4000, 8)) * np.exp(rng.normal(size=(4000, 1)) * 1.5) * 20).astype(np.int64), rng.normal(0, 8, (4000, 64)).astype(np.int64)):
         lists = topk.Lists.of(np.arange(4000), x)
-        for i in range(0, 4000, 400):
+        asked = range(0, 4000, 400)
+        want = {}
+        for i in asked:
             scores = x @ x[i]
-            own = np.arange(4000) == i
-            want = [j for j in np.lexsort((np.arange(4000), -scores)).tolist() if j != i][:20]
-            ids, got = lists.best(x[i], 20, None, own)
-            assert ids.tolist() == want and got.tolist() == scores[want].tolist()
-            bar = int(got[9])
-            ids, got = lists.best(x[i], 20, bar, own)
-            assert ids[:10].tolist() == want[:10] and got[:10].tolist() == scores[want[:10]].tolist()
+            want[i] = [(j, int(scores[j])) for j in np.lexsort((np.arange(4000), -scores)).tolist() if j != i][:20]
+        own = [np.array([i]) for i in asked]
+        bars = [want[i][9][1] if i else None for i in asked]
+        for given, n in (([None] * 10, 20), (bars, 10)):
+            for i, (ids, got) in zip(asked, lists.best(x[asked], 20, given, own), strict=True):
+                assert list(zip(ids.tolist(), got.tolist(), strict=True))[:n] == want[i][:n]
         assert 0 < lists.read < 20 * 4000 * x.shape[1] and lists.resolved <= 20 * 4000 // topk.FEW_PART
     assert lists.read < 0.95 * 20 * 4000 * 64
 
