@@ -1,12 +1,15 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-The kernel of two words is the gap-weighted count of the subsequences of three letters that they share, each weighted by DECAY to the power of
-its span in either word; spans are at most SPAN letters. Letters may hence stand between those of an insult, and characters that aren't letters
-or digits inside a word are taken out first; single letters in a row make up one word. Landmarks are pieces of words which toxic documents share, and
-clean words that resemble them most. A word's kernel values with the landmarks are its Nyström features; a sentence takes the largest value of its words for each
-landmark. A linear support vector machine on the whitened features is trained on sentences of labelled documents: those of clean documents are
-negative, and of a toxic document the sentence that scores highest is positive, which is found anew in each round. A document's score is that of
-its highest sentence.
+A word is the set of its subsequences of three letters within SPAN letters, each of weight DECAY to the power of the letters that it skips (of several occurrences the
+highest). The kernel of two words is the sum of the lesser of both weights, over their common subsequences, divided by a size of each word that doesn't grow beyond
+that of LETTERS letters, to the power DEGREE: an intersection kernel, scaled, to a whole power, hence positive semidefinite. What else stands in a long word doesn't
+lower it, and letters may stand between those of an insult; characters that aren't letters or digits inside a word are taken out first, and single letters in a row
+make up one word. The begin of a word counts as a letter. Landmarks are pieces of words which toxic documents share, and the clean words that resemble them most; a word's kernel values with them, times the
+inverse root of their kernel matrix, are its Nyström features. Two linear support vector machines are trained on them. One takes sentences, which have the margin of their
+highest word: all sentences of clean documents are negative, and of a toxic document the highest one is positive, which is found anew in each round; positive words are also
+given with letters put between theirs. It finds words that are insults wherever they stand. The other takes the mean features of all words of a document: it finds words
+that clean documents have too, but less often. A logistic of both margins, the highest of a text's sentences and that of its mean, is the probability at the shares that
+the labels have.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,31 +26,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import kept, lower_ascii, small_batches, texts, with_arrays
+from marlstone.llm.common import col, kept, lower_ascii, small_batches, texts, with_arrays
 
-#: Letters of a subsequence are within SPAN letters; each letter of the span counts DECAY.
-SPAN, DECAY = 5, 0.7
+#: Letters of a subsequence are within SPAN letters; each letter that it skips counts DECAY. The size of a word is that of LETTERS letters at most; the kernel's power.
+SPAN, DECAY, LETTERS, DEGREE = 7, 0.9, 5, 3
 #: Labelled documents that the model is fitted on: at most so many of each label, and of each at most those of so many bytes in all.
 MOST_DOCS, MOST_BYTES = 3000, 16 << 20
 #: Landmarks of toxic documents and of clean ones at most; lengths of the pieces; how many landmarks each toxic document should have.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, LENGTHS, COVER = 128, 32, (7, 6, 5, 4), 3
-#: A word whose kernel value with every landmark is less than this part of the landmark's own counts as sharing nothing.
-NEAR = 0.6
-#: With letters put between its own, a landmark has a kernel value below NEAR (one in each gap: 0.21 to 0.33). From this value on it is looked for in the word.
-FILLED = 0.2
+#: Clean words that join the machine's working set in a round (the highest of those that it gets wrong), and rounds.
+WORKING, ROUNDS = 1500, 6
+#: Words without a sign that the mean of a text has besides its own, so that one word of a short text isn't much.
+PRIOR = 20
 #: Score from which a document is predicted to be toxic.
 CUT = 0.7
+#: Words, and letters, that are looked at at once.
+STEP, STEP_LETTERS = 512, 1 << 16
+#: The begin of a word, and a letter that no word has.
+BEGIN, NONE = "\2", "\1"
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s|\n")
-_TRIPLES = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
-#: Letters become one of 31 symbols; 0 separates words.
-_SYMBOLS = 32
-
-
-def _symbol(c: str) -> int:
-    if "a" <= c <= "z":
-        return ord(c) - 96
-    return 27 + ord(c) % 5
+#: From the lowest weight on.
+_TRIPLES = [(i, j) for j in range(SPAN - 1, 1, -1) for i in range(1, j)]
 
 
 def sentences(text: str) -> list[str]:
@@ -77,144 +77,195 @@ def words(sentence: str) -> list[str]:
 _SPACED = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 
 
-def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all subsequences of the words: the word each is in, its code, its weight."""
-    joined = "\0" * SPAN + ("\0" * SPAN).join(units) + "\0" * SPAN
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbol = np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 5)
-    symbol = np.where(points == 0, 0, symbol).astype(np.int32)
-    inside = points != 0
-    begins = inside & ~np.concatenate([[False], inside[:-1]])
-    owner = np.cumsum(begins) - 1
-    n = len(points) - SPAN
-    who, code, weight = [], [], []
-    a = symbol[:n]
-    for i, j in _TRIPLES:
-        b, c = symbol[i : i + n], symbol[j : j + n]
-        ok = np.flatnonzero((a > 0) & (b > 0) & (c > 0) & (owner[:n] == owner[j : j + n]))
-        who.append(owner[ok])
-        code.append((a[ok] * _SYMBOLS + b[ok]) * _SYMBOLS + c[ok])
-        weight.append(np.full(len(ok), DECAY ** (j + 1), np.float32))
-    return np.concatenate(who), np.concatenate(code), np.concatenate(weight)
+def _size(letters: int) -> float:
+    """The root of the weight of all subsequences of so many letters, LETTERS at most."""
+    n = min(max(letters, 3), LETTERS)
+    return sum((n - j) * DECAY ** (j - 2) for i, j in _TRIPLES if j < n) ** 0.5
+
+
+_SIZES = [_size(n) for n in range(LETTERS + 1)]
+
+
+def _steps(units: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of words of bounded number and length."""
+    lo = letters = 0
+    for i, u in enumerate(units):
+        if i > lo and (i - lo == STEP or letters + len(u) > STEP_LETTERS):
+            yield lo, i
+            lo, letters = i, 0
+        letters += len(u)
+    if lo < len(units):
+        yield lo, len(units)
 
 
 class Landmarks:
-    """Landmark words as weights of their subsequences: code -> row of table (row 0: none of them has it), a column for each landmark."""
+    """Landmark words by the weights of their subsequences: a row for each subsequence that one of them has. Letters that none of them has are 0."""
 
     def __init__(self, units: list[str]):
         self.units = units
-        who, code, weight = _codes(units)
-        known = np.unique(code)
-        self.row_of = np.zeros(_SYMBOLS**3, np.int32)
-        self.row_of[known] = np.arange(1, len(known) + 1)
-        phi = np.zeros((len(known) + 1, len(units)), np.float32)
-        np.add.at(phi, (self.row_of[code], who), weight)
-        square = np.maximum((phi**2).sum(0), 1e-9)
-        self.gram = (phi.T @ phi / np.sqrt(np.outer(square, square))).astype(np.float64)
-        self.table = phi / square  # a landmark's value with itself is 1
-        self.most = self.table.max(1)
-        fill = f"\\w{{0,{SPAN - 3}}}?"
-        self.filled = [re.compile(fill.join(map(re.escape, u))) for u in units]
-
-    def kernel(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Which words come near a landmark, and the kernel values of these with each landmark, as parts of the landmark's own.
-
-        A word that has all letters of a landmark in order, with no more between two of them than a span allows, has the landmark's own value.
-        """
-        none = np.zeros(0, np.int64), np.zeros((0, self.table.shape[1]), np.float32)
-        if not units:
-            return none
-        who, code, weight = _codes(units)
-        row = self.row_of[code]
-        hit = np.flatnonzero(row)
-        who, row, weight = who[hit], row[hit], weight[hit]
-        bound = np.bincount(who, weight * self.most[row], len(units))
-        keep = bound[who] >= FILLED
-        who, row, weight = who[keep], row[keep], weight[keep]
-        if not len(who):
-            return none
-        order = np.argsort(who, kind="stable")
-        who, row, weight = who[order], row[order], weight[order]
-        starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-        values = np.concatenate([np.add.reduceat(self.table[row[lo:hi]] * weight[lo:hi, None], starts[i : i + 256] - lo, axis=0) for i, lo, hi in _steps(starts, len(who), 256)])
-        who = who[starts]
-        for i, k in np.argwhere((values >= FILLED) & (values < 1)).tolist():
-            if self.filled[k].search(units[who[i]]):
-                values[i, k] = 1
-        near = values.max(1) >= NEAR
-        return who[near], values[near]
-
-
-def _steps(starts: np.ndarray, end: int, size: int) -> Iterator[tuple[int, int, int]]:
-    """Steps of so many groups, which bound memory: the first group, where it starts, where the step ends."""
-    for i in range(0, len(starts), size):
-        yield i, starts[i], starts[i + size] if i + size < len(starts) else end
+        letters = sorted({c for u in units for c in u})[:254]  # symbols are bytes
+        self.base = len(letters) + 1
+        self.symbols = np.zeros(0x110000, np.uint8)
+        self.symbols[[ord(c) for c in letters]] = np.arange(1, self.base)
+        found = [c[(c % self.base > 0) & (c // self.base % self.base > 0) & (c >= self.base**2)] for c, _, _ in self._codes(units)]
+        known = np.unique(np.concatenate(found))
+        self.row_of = np.full(self.base**3, len(known), np.int32)  # the last row: what none of them has
+        self.row_of[known] = np.arange(len(known))
+        self.sizes = np.array([_size(len(u)) for u in units])
+        who, row, weight = self._shared(units)
+        order = np.lexsort((who, row))
+        #: By subsequence the landmarks that have it, one after the other, and the weights there.
+        self.starts = np.searchsorted(row[order], np.arange(len(known) + 1))
+        self.holders, self.held = who[order], weight[order]
+        self.gram = self.kernel(units).astype(np.float64)
+
+    def _codes(self, units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        """For each form of a subsequence, from the lowest weight on: codes, the words they are in, and the weight."""
+        gap = "\0" * (SPAN - 1)  # so far apart that no subsequence goes from one word to the next
+        points = np.frombuffer((gap.join(units) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = self.symbols[points].astype(np.int32)
+        owner = np.repeat(np.arange(len(units)), [len(u) + SPAN - 1 for u in units])
+        n = len(row) - SPAN + 1
+        first, second = row * (self.base * self.base), row * self.base
+        for i, j in _TRIPLES:
+            yield first[:n] + second[i : i + n] + row[j : j + n], owner[:n], DECAY ** (j - 2)
+
+    def _shared(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, the subsequences of landmarks that they have, and the highest weight of each there."""
+        rows = int(self.row_of.max())  # what no landmark has is one more row
+        keys, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for code, who, w in self._codes(units):
+            row = self.row_of[code]
+            hit = np.flatnonzero(row < rows)
+            keys.append(who[hit] * rows + row[hit])
+            weights.append(np.full(len(hit), w))
+        key, weight = np.concatenate(keys), np.concatenate(weights)
+        key, last = np.unique(key[::-1], return_index=True)  # higher weights come later
+        return key // rows, key % rows, weight[::-1][last]
+
+    def kernel(self, units: list[str]) -> np.ndarray:
+        """Kernel values of words with each landmark, a row for each word."""
+        out = np.zeros((len(units), len(self.units)), np.float32)
+        for lo, hi in _steps(units):
+            who, row, weight = self._shared(units[lo:hi])
+            n = self.starts[row + 1] - self.starts[row]
+            at = np.repeat(self.starts[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pair = np.repeat(who, n) * len(self.units) + self.holders[at]
+            out[lo:hi] = np.bincount(pair, np.minimum(np.repeat(weight, n), self.held[at]), (hi - lo) * len(self.units)).reshape(hi - lo, -1)
+        size = np.array([_SIZES[min(len(u), LETTERS)] for u in units])
+        return (out / (size[:, None] * self.sizes).astype(np.float32)) ** DEGREE
 
 
 @dataclass
 class Model:
-    """A fitted model; scores are probabilities by a logistic of the margin."""
+    """A fitted model: weights on kernel values with the landmarks (the map and a machine in one), and the logistic."""
 
     landmarks: Landmarks
-    weights: np.ndarray  # on kernel values: whitening and the support vector machine's weights in one
-    bias: float
-    slope: float
-    shift: float
+    weights: np.ndarray  # a column for each machine
+    bias: float  # of the first
+    logistic: np.ndarray  # weights of both margins, and the constant
+
+    def margins(self, units: list[str]) -> np.ndarray:
+        """Of bare words: the first machine's margin, the second's part of a mean."""
+        return self.landmarks.kernel(units) @ self.weights + np.array([self.bias, 0], np.float32)
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+    def probability(self, highest: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        a, b, c = self.logistic
+        return 1 / (1 + np.exp(-np.clip(a * highest + b * mean + c, -30, 30)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
-    """Weights of a linear support vector machine (the last is the bias), by dual coordinate descent with classes of equal weight."""
+class Scorer:
+    """Margins of words and texts; keeps the margins of words (a bounded number), since most words recur."""
+
+    def __init__(self, model: Model, most: int = 200_000):
+        self.model, self.most = model, most
+        self.high: dict[str, float] = {}
+        self.part: dict[str, float] = {}
+
+    def learn(self, new: Iterable[str]) -> None:
+        fresh = list(new)
+        plain = [bare(w) for w in fresh]
+        self.high.update(dict.fromkeys(fresh, self.model.bias))
+        self.part.update(dict.fromkeys(fresh, 0.0))
+        some = [i for i, w in enumerate(plain) if len(w) > 2]
+        for lo in range(0, len(some), 8192):
+            part = some[lo : lo + 8192]
+            found = self.model.margins([BEGIN + plain[i] for i in part])
+            for column, known in enumerate((self.high, self.part)):
+                known.update(zip((fresh[i] for i in part), found[:, column].tolist(), strict=True))
+
+    def scores(self, docs: list[str]) -> np.ndarray:
+        """Probabilities of texts. A text without words has the first machine's bias and a mean of 0."""
+        if len(self.high) > self.most:
+            self.high, self.part = {}, {}
+        low = [lower_ascii(t) for t in docs]
+        own = [words(t) for t in low]
+        self.learn(set().union(*own).difference(self.high))
+        highest = [max(self.model.bias, max(map(self.high.__getitem__, w), default=self.model.bias)) for w in own]
+        mean = [sum(map(self.part.__getitem__, w)) / (len(w) + PRIOR) for w in own]
+        return self.model.probability(np.array(highest, float), np.array(mean, float))
+
+
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40, seed: int = 7) -> np.ndarray:
+    """Weights of a linear support vector machine (the last is the bias), by dual coordinate descent; each row has a cost of its own."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)], dtype=np.float64)
-    limit = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
     square = np.einsum("ij,ij->i", x, x)
     alpha, w, rng = np.zeros(len(y)), np.zeros(x.shape[1]), np.random.default_rng(seed)
     for _ in range(rounds):
+        moved = 0.0
         for i in rng.permutation(len(y)):
             g = y[i] * (x[i] @ w) - 1
-            new = min(max(alpha[i] - g / square[i], 0.0), limit[i])
+            new = min(max(alpha[i] - g / square[i], 0.0), cost[i])
             if new != alpha[i]:
                 w += (new - alpha[i]) * y[i] * x[i]
+                moved = max(moved, abs(new - alpha[i]) / cost[i])
                 alpha[i] = new
+        if moved < 1e-3:
+            break
     return w
 
 
-def _platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic of least loss, with the smoothed targets of Platt, by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
+    """Weights and constant of the logistic of least loss, with the smoothed targets of Platt, by Newton steps; the labels weigh as `share` of toxic ones has them. No weight is negative."""
     pos, neg = (y > 0).sum(), (y < 0).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        g = np.array([((p - t) * m).sum(), (p - t).sum()])
-        s = p * (1 - p) + 1e-9
-        h = np.array([[(s * m * m).sum() + 1e-3, (s * m).sum()], [(s * m).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-6:
+    weight = np.where(y > 0, share / pos, (1 - share) / neg) * len(y)
+    scale = np.maximum(x.std(0), 1e-9)
+    x = np.hstack([x / scale, np.ones((len(x), 1))])
+    live, w = np.ones(x.shape[1], bool), np.zeros(x.shape[1])
+    for _ in range(x.shape[1]):
+        w[:] = 0
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g = x.T @ (weight * (p - t)) + 1e-3 * w
+            h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+            step = np.zeros(len(w))
+            step[live] = np.linalg.solve(h[np.ix_(live, live)], g[live])
+            w -= step * min(1.0, 2.0 / max(1e-9, abs(step).max()))
+            if abs(step).max() < 1e-6:
+                break
+        if (w[:-1] >= 0).all():
             break
-    return float(max(a, 1e-3)), float(b)
+        live[:-1] &= w[:-1] >= 0
+    return np.append(w[:-1] / scale, w[-1])
 
 
 def _pieces(word: str) -> set[str]:
-    return {word[i : i + n] for n in LENGTHS for i in range(len(word) - n + 1)} | ({word} if 3 <= len(word) < min(LENGTHS) else set())
+    return {word[i : i + n] for n in LENGTHS for i in range(len(word) - n + 1)}
 
 
-def choose_landmarks(docs: list[list[str]], y: np.ndarray) -> list[str]:
+def choose_landmarks(docs: list[Counter], y: np.ndarray) -> list[str]:
     """Pieces of words that mark toxic documents, each chosen for the most documents that lack COVER of them yet; then the clean words most like them.
 
-    Documents are given as their distinct words.
+    Documents are given as the counts of their words. A piece marks toxic documents if it is twenty times as frequent there.
     """
     clean: Counter = Counter()
+    rare: Counter = Counter()
     for d, label in zip(docs, y, strict=True):
-        if label < 0:
-            clean.update(d)
+        (clean if label < 0 else rare).update(d)
     n_pos, n_neg = int((y > 0).sum()), int((y < 0).sum())
     toxic = [d for d, label in zip(docs, y, strict=True) if label > 0]
     least = max(2, 0.003 * n_pos)
-    rare = Counter(w for d in toxic for w in d if clean[w] <= 0.002 * n_neg)
     # Most pieces are in a document or two: sets are kept only for those that may be in enough, by counts of hashes, which are never too small.
     bins = np.zeros(1 << 20, np.int64)
     for w, n in rare.items():
@@ -222,17 +273,19 @@ def choose_landmarks(docs: list[list[str]], y: np.ndarray) -> list[str]:
             bins[hash(g) % len(bins)] += n
     enough = {w: some for w in rare if (some := [g for g in _pieces(w) if bins[hash(g) % len(bins)] >= least])}
     holders: dict[str, set[int]] = {}
+    often: Counter = Counter()
     for i, d in enumerate(toxic):
-        for w in d:
+        for w, n in d.items():
             for g in enough.get(w, ()):
                 holders.setdefault(g, set()).add(i)
+                often[g] += n
     holders = {g: h for g, h in holders.items() if len(h) >= least}
     against: Counter = Counter()
     for w, n in clean.items():
         for g in _pieces(w):
             if g in holders:
                 against[g] += n
-    ratio = {g: np.log(len(h) / n_pos) - np.log((against[g] + 0.1) / n_neg) for g, h in holders.items()}
+    ratio = {g: np.log(often[g] / n_pos) - np.log((against[g] + 0.1) / n_neg) for g in holders}
     open_ = {g: h for g, h in holders.items() if ratio[g] > 3}
     lacks, chosen = Counter({i: COVER for i in range(len(toxic))}), []
     heap = [(-len(h), -len(g), g) for g, h in open_.items()]
@@ -247,100 +300,135 @@ def choose_landmarks(docs: list[list[str]], y: np.ndarray) -> list[str]:
         chosen.append(g)
         lacks.subtract(i for i in open_[g] if lacks[i] > 0)
     if not chosen:
-        chosen = sorted({w for d in toxic for w in d} or {"none"}, key=lambda w: (clean[w], w))[:8]
-    common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[:20_000]]
-    near, values = Landmarks(chosen).kernel(common)
-    like = near[np.argsort(-values.max(1), kind="stable")][:CLEAN_LANDMARKS] if len(near) else []
-    return list(dict.fromkeys([*chosen, *(common[i] for i in like)]))
+        chosen = sorted({w for d in toxic for w in d} or {BEGIN + "none"}, key=lambda w: (clean[w], w))[:8]
+    marks = Landmarks(chosen)
+    names = sorted(clean)
+    near = _closeness(marks, names)
+    like = np.lexsort((np.arange(len(names)), -near))[:CLEAN_LANDMARKS]
+    return list(dict.fromkeys([*chosen, *(names[i] for i in like)]))
+
 
+def marked(units: list[str]) -> list[str]:
+    """Bare words of three letters or more, with their begin."""
+    return [BEGIN + w for w in map(bare, units) if len(w) > 2]
 
-def fit(docs: list[str], toxic: list[int], rounds: int = 3) -> Model:
-    """A model of labelled texts. With texts of one label only, or none, all scores are that label's share (smoothed)."""
+
+def _closeness(marks: Landmarks, names: list[str]) -> np.ndarray:
+    """Of each word the highest kernel value with a landmark, as a part of the landmark's own."""
+    own = np.diag(marks.gram).astype(np.float32)
+    return np.concatenate([(marks.kernel(names[lo : lo + 8192]) / own).max(1) for lo in range(0, len(names), 8192)] or [np.zeros(0)])
+
+
+def filled(word: str) -> list[str]:
+    """The word with letters put between its own: one in every gap, two in every second. The letters are ones that no landmark has."""
+    return [NONE.join(word).replace(BEGIN + NONE, BEGIN), "".join(c + NONE * 2 * (i > 0 and i % 2 == 0) for i, c in enumerate(word))]
+
+
+def fit(docs: list[str], toxic: list[int], share: float | None = None) -> Model:
+    """A model of labelled texts; share is that of toxic ones among all labels (null: as given). With texts of one label only, or none, all scores are that label's share (smoothed)."""
     y = np.array([1 if t else -1 for t in toxic])
     if not len(y) or abs(y.sum()) == len(y):
         share = (sum(1 for t in toxic if t) + 1) / (len(toxic) + 2)
-        return Model(Landmarks(["none"]), np.zeros(1, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return Model(Landmarks([BEGIN + "none"]), np.zeros((1, 2), np.float32), 0.0, np.array([0.0, 0.0, float(np.log(share / (1 - share)))]))
     pool: dict[str, str] = {}  # equal words are one object
-    distinct = [list({pool.setdefault(w, w) for s in sentences(t) for w in map(bare, words(s)) if len(w) > 2}) for t in docs]
-    marks = Landmarks(choose_landmarks(distinct, y))
-    del distinct, pool
-    model = Model(marks, np.zeros(len(marks.units), np.float32), 0.0, 1.0, 0.0)
-    x, owner = _features(docs, Scorer(model))
+    counts, length = [], []
+    for t in docs:
+        all_ = words(lower_ascii(t))
+        length.append(len(all_))
+        counts.append(Counter(pool.setdefault(w, w) for w in marked(all_)))
+    marks = Landmarks(choose_landmarks(counts, y))
+    names = list(pool)
+    at = {w: i for i, w in enumerate(names)}
+    owned = [np.array([at[w] for w in d], np.int64) for d in counts]
+    times = [np.array(list(d.values()), float) for d in counts]
+    del counts, pool, at
+    in_clean = np.bincount(np.concatenate([o for o, label in zip(owned, y, strict=True) if label < 0]), minlength=len(names))
     # Nyström: features K^-1/2 k(x).
     value, vector = np.linalg.eigh(marks.gram + 1e-2 * np.eye(len(marks.gram)))
-    white = ((vector / np.sqrt(value)) @ vector.T).astype(np.float32)
-    z = x @ white
-    margin = x.max(1)
-    label = y[owner]
-    negatives = np.flatnonzero(label < 0)
-    some = x.any(1)
-    negatives = negatives[some[negatives]]  # sentences that share nothing are all alike: one stands for them
-    w = np.zeros(z.shape[1] + 1)
-    for _ in range(rounds):
-        best = _top(owner, margin, len(y))
-        positives = np.array([i for i in best[y > 0] if i >= 0 and some[i]], int)
-        features = np.vstack([z[positives], z[negatives], np.zeros((1, z.shape[1]), np.float32)])
-        w = _svm(features, np.concatenate([np.ones(len(positives)), -np.ones(len(negatives) + 1)]))
-        margin = z @ w[:-1] + w[-1]
-    best = _top(owner, margin, len(y))
-    has = best >= 0
-    slope, shift = _platt(margin[best[has]], y[has])
-    return Model(marks, (white @ w[:-1]).astype(np.float32), float(w[-1]), slope, shift)
-
-
-def _features(docs: list[str], scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
-    """Kernel values of the sentences that come near a landmark, and the document of each. A document's other sentences are alike: one row of zeros stands for them."""
-    parts, owner = [np.zeros((0, len(scorer.model.weights)), np.float32)], []
-    for lo in range(0, len(docs), 64):  # in steps, so that not all words are held at once
-        split = [[words(s) for s in sentences(t)] for t in docs[lo : lo + 64]]
-        scorer.learn({w for d in split for s in d for w in s}.difference(scorer.rows))
-        for i, d in enumerate(split, lo):
-            near = [own for s in d if (own := {w for w in s if scorer.rows[w]})]
-            if len(near) < len(d):
-                near.append(set())
-            parts.append(scorer.pooled(near))
-            owner += [i] * len(near)
-    return np.concatenate(parts), np.array(owner, int)
-
-
-def _top(owner: np.ndarray, margin: np.ndarray, n: int) -> np.ndarray:
-    """Of each document the sentence of the largest margin, -1 if it has none."""
-    out = np.full(n, -1)
-    order = np.lexsort((-np.arange(len(owner)), margin))
-    out[owner[order]] = order
-    return out
+    white = (vector / np.sqrt(value)) @ vector.T
+    blocks = [(lo, min(lo + 8192, len(names))) for lo in range(0, len(names), 8192)]
+    mean = _means(marks, names, blocks, owned, times, length) @ white
+    size = np.sqrt((mean**2).sum(1).mean()) or 1.0
+    both = np.where(y > 0, share or (y > 0).mean(), 1 - (share or (y > 0).mean())) / np.where(y > 0, (y > 0).sum(), (y < 0).sum())
+    second = _svm(mean / size, y, 100.0 * both * len(y))
+    # To begin with, words are as high as the landmark that they come nearest to.
+    score = _closeness(marks, names)
+    working: set[int] = set()
+    model = Model(marks, np.zeros((len(marks.units), 2), np.float32), 0.0, np.zeros(3))
+    for _ in range(ROUNDS):
+        tops = Counter(int(o[np.argmax(score[o])]) for o, label in zip(owned, y, strict=True) if label > 0 and len(o))
+        wrong = np.flatnonzero((in_clean > 0) & (score > -1))
+        working.update(wrong[np.lexsort((wrong, -score[wrong]))][:WORKING].tolist())
+        positive, negative = sorted(tops), sorted(working)
+        heavy, light = np.array([tops[i] for i in positive], float), in_clean[negative].astype(float)
+        more = [f for i in positive for f in filled(names[i])]
+        x = marks.kernel([*(names[i] for i in positive), *more, *(names[i] for i in negative)]).astype(np.float64) @ white
+        x = np.vstack([x, np.zeros((1, x.shape[1]))])  # a word that shares nothing
+        cost = np.concatenate([heavy, np.repeat(heavy, 2) / 4, 4 * light, [len(y)]])
+        w = _svm(x, np.concatenate([np.ones(3 * len(positive)), -np.ones(len(negative) + 1)]), cost)
+        model.weights, model.bias = np.stack([white @ w[:-1], white @ second[:-1] / size], 1).astype(np.float32), float(w[-1])
+        found = np.concatenate([model.margins(names[lo:hi]) for lo, hi in blocks])
+        score = found[:, 0]
+    highest = np.array([max(model.bias, score[o].max(initial=model.bias)) for o in owned])
+    means = np.array([(found[o, 1] * t).sum() / (n + PRIOR) for o, t, n in zip(owned, times, length, strict=True)])
+    model.logistic = _logistic(np.stack([highest, means], 1), y, float((y > 0).mean()) if share is None else share)
+    return model
+
+
+def _means(marks: Landmarks, names: list[str], blocks: list[tuple[int, int]], owned: list[np.ndarray], times: list[np.ndarray], length: list[int]) -> np.ndarray:
+    """The mean kernel values of each document's words, block by block of words, so that those of all words are never held at once."""
+    doc = np.repeat(np.arange(len(owned)), [len(o) for o in owned])
+    word, n = np.concatenate([np.zeros(0, np.int64), *owned]), np.concatenate([np.zeros(0), *times])
+    order = np.argsort(word, kind="stable")
+    doc, word, n = doc[order], word[order], n[order]
+    out = np.zeros((len(owned), len(marks.units)))
+    for lo, hi in blocks:
+        a, b = np.searchsorted(word, [lo, hi])
+        values = marks.kernel(names[lo:hi])
+        for i in range(a, b, 65_536):
+            j = min(i + 65_536, b)
+            by = np.argsort(doc[i:j], kind="stable")
+            d = doc[i:j][by]
+            first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            out[d[first]] += np.add.reduceat(values[word[i:j][by] - lo] * n[i:j][by][:, None], first, axis=0)
+    return out / (np.array(length)[:, None] + PRIOR)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_DOCS) -> list[tuple[str, int]]:
     """At most `most` labelled texts of each label, those of smallest hash of the key, up to MOST_BYTES of each label.
 
-    A document with several labels is toxic if one says so; null labels and keys are none. Only keys of the sample go to the documents.
+    A document with several labels is toxic if one says so; null labels and keys are none. Of rows with one key the shortest text stands for all. Only keys of the sample go
+    to the documents, and a row for each of them, then the chosen texts, come to the driver.
     """
-    one = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
+    one = labels.filter(col(label).isNotNull() & col(key).isNotNull()).groupBy(col(key).alias("_key")).agg(F.max(col(label)).alias("_label"))
     ids = []
     for value in (0, 1):
         ids += [(r[0], value) for r in one.filter((F.col("_label") > 0) == bool(value)).orderBy(F.xxhash64("_key"), "_key").limit(most).collect()]
     if not ids:
         return []
     sample = docs.sparkSession.createDataFrame(ids, T.StructType([T.StructField("_key", labels.schema[key].dataType), T.StructField("_label", T.IntegerType())]))
-    found = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), "_key")
-    rows, used = [], {0: 0, 1: 0}
-    small = found.withColumn("_n", F.octet_length("_text")).withColumn("_h", F.xxhash64("_key"))
-    sizes = small.select("_key", "_label", "_n", "_h").orderBy("_h", "_key", "_n").collect()
-    chosen = set()
+    found = docs.select(col(key).alias("_key"), F.coalesce(col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), "_key")
+    which = F.struct(F.octet_length("_text").alias("n"), F.xxhash64("_text").alias("x"))
+    sizes = found.groupBy("_key", "_label").agg(F.min(which).alias("one")).orderBy(F.xxhash64("_key"), "_key").collect()
+    chosen, used = [], {0: 0, 1: 0}
     for r in sizes:
-        if used[r._label] + r._n <= MOST_BYTES:
-            used[r._label] += r._n
-            chosen.add(r._key)
-    for r in found.filter(F.col("_key").isin(list(chosen)) if len(chosen) < len({s._key for s in sizes}) else F.lit(True)).select("_key", "_text", "_label").toLocalIterator():
-        rows.append((r._key, r._text, r._label))
-    return [(t, y) for _, t, y in sorted(rows, key=lambda r: (str(r[0]), r[1]))]
+        if used[r._label] + r.one.n <= MOST_BYTES:
+            used[r._label] += r.one.n
+            chosen.append((r._key, r.one.n, r.one.x))
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("_key", labels.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("x", T.LongType())]))
+    same = (F.octet_length("_text") == F.col("n")) & (F.xxhash64("_text") == F.col("x"))
+    rows = found.join(F.broadcast(wanted), "_key").filter(same).groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
+    return [(t, y) for _, t, y in sorted(((r._key, r._text, r._label) for r in rows.toLocalIterator()), key=lambda r: (str(r[0]), r[1]))]
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_DOCS) -> Model:
     """A model of the labelled documents. Nothing but the texts goes into it; the caller chooses the labels to learn from."""
     rows = training_rows(docs, labels, key, text, label, most)
-    return fit([t for t, _ in rows], [y for _, y in rows])
+    of = labels.filter(col(label).isNotNull() & col(key).isNotNull()).groupBy(col(key)).agg(F.max(col(label)).alias("_label"))
+    share = of.agg(F.avg((F.col("_label") > 0).cast("double"))).first()[0]
+    return fit([t for t, _ in rows], [y for _, y in rows], share)
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -351,7 +439,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     spark = df.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # its size is that of the landmarks: some MB at most
+    shared = spark.sparkContext.broadcast(model)  # a weight for each subsequence of a landmark: some hundred KB
     keep = kept(df, ["score", "predicted"])
     columns = list(dict.fromkeys([*keep, text]))
 
@@ -362,59 +450,4 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield with_arrays(b, {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= CUT).astype(np.int32), pa.int32())}, keep)
 
     fields = [df.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return df.select(*columns).mapInArrow(run, T.StructType(fields))
-
-
-class Scorer:
-    """Scores texts; keeps what it has found out about words (a bounded number), since most words recur."""
-
-    def __init__(self, model: Model, most: int = 150_000):
-        self.model, self.most = model, most
-        self.rows: dict[str, int] = {}
-        self.kernel: list = [None]  # 0: words that come near no landmark
-
-    def learn(self, new: set[str]) -> None:
-        fresh = sorted(new)
-        for lo in range(0, len(fresh), 5_000):  # in steps, to bound memory
-            part = fresh[lo : lo + 5_000]
-            plain = [bare(w) for w in part]
-            some = [i for i, w in enumerate(plain) if len(w) > 2]
-            near, values = self.model.landmarks.kernel([plain[i] for i in some])
-            at = len(self.kernel)
-            self.kernel.extend(values)
-            self.rows.update(dict.fromkeys(part, 0))
-            self.rows.update((part[some[i]], at + k) for k, i in enumerate(near.tolist()))
-
-    def pooled(self, sentences_: list) -> np.ndarray:
-        """Of each sentence, given as known words, the largest kernel value for each landmark."""
-        rows = self.rows
-        out = np.zeros((len(sentences_), len(self.model.weights)), np.float32)
-        for i, s in enumerate(sentences_):
-            for r in {rows[w] for w in s}:
-                if r:
-                    np.maximum(out[i], self.kernel[r], out=out[i])
-        return out
-
-    def scores(self, docs: list[str]) -> np.ndarray:
-        if len(self.rows) > self.most:
-            self.rows, self.kernel = {}, [None]
-        rows, m = self.rows, self.model
-        low = [lower_ascii(t) for t in docs]
-        distinct = [set(t.split()) for t in low]
-        self.learn(set().union(*distinct).difference(rows) if distinct else set())
-        margin = np.full(len(docs), m.bias)
-        for i, t in enumerate(low):
-            # A document none of whose words comes near a landmark has the margin of a sentence without words.
-            hot = {w for w in distinct[i] if rows[w]}
-            spaced = _SPACED.search(t)
-            if not hot and not spaced:
-                continue
-            split = [s.split() for s in sentences(t)]
-            if spaced:
-                split = [words(s) for s in sentences(t)]
-                self.learn({w for s in split for w in s}.difference(rows))
-                hot = {w for s in split for w in s if rows[w]}
-            near = [own for s in split if (own := hot.intersection(s))]
-            if near:
-                margin[i] = max(m.bias, float((self.pooled(near) @ m.weights).max() + m.bias))
-        return m.probability(margin)
+    return df.select(*map(col, columns)).mapInArrow(run, T.StructType(fields))

@@ -479,13 +479,66 @@ def test_toxicity(spark):
     assert rows[80].predicted == rows[81].predicted == 0 and [rows[i].predicted for i in (82, 83, 84)] == [1, 1, 1]
     assert all(0 <= r.score <= 1 for r in rows.values())
     same = toxicity.fit(["a"], [0])
-    assert 0 < toxicity.Scorer(same).scores(["x"])[0] < 0.5 and toxicity.fit([], []).shift == 0
+    assert 0 < toxicity.Scorer(same).scores(["x"])[0] < 0.5 and toxicity.fit([], []).logistic[2] == 0
     labels = spark.createDataFrame([(i, int(b)) for i, b in enumerate(y)] + [(0, 0), (None, 1), (5, None), (99999, 1)], "doc_id long, toxic int")
     got = toxicity.training_rows(docs(spark, texts), labels, most=20)
     assert Counter(b for _, b in got) == {0: 20, 1: 20} or Counter(b for _, b in got)[0] == 20
     assert toxicity.training_rows(docs(spark, texts), labels.limit(0)) == []
 
 
+def plain_kernel(x, y):
+    """The kernel by its definition: subsequences of three letters, the highest weight of each, the lesser of both words'."""
+    def weights(w):
+        out = {}
+        for i in range(len(w)):
+            for k in range(i + 2, min(len(w), i + toxicity.SPAN)):
+                for j in range(i + 1, k):
+                    t = w[i] + w[j] + w[k]
+                    out[t] = max(out.get(t, 0), toxicity.DECAY ** (k - i - 2))
+        return out
+
+    def size(n):
+        return math.sqrt(sum(weights("abcdefgh"[: min(max(n, 3), toxicity.LETTERS)]).values()))
+
+    a, b = weights(x), weights(y)
+    return (sum(min(a[t], b[t]) for t in a if t in b) / (size(len(x)) * size(len(y)))) ** toxicity.DEGREE
+
+
+def test_toxicity_kernel():
+    """The landmarks' kernel is the plain one, of whatever script, repeated and long words; it is positive semidefinite."""
+    rng = random.Random(19)
+    units = ["stupid", "sstupidd", "scum", "scumbag", "дурак", "馬鹿馬鹿", "aaa", "aaaaaa", "réeux", "\2réeux", "s1t2u3p", "x" * 300 + "stupid"] + ["".join(rng.choice("abcdeé1") for _ in range(rng.choice([3, 5, 9, 15]))) for _ in range(30)]
+    marks = toxicity.Landmarks(units)
+    got = marks.kernel(units)
+    for i, x in enumerate(units):
+        assert got[i].tolist() == pytest.approx([plain_kernel(x, y) for y in units], rel=1e-4, abs=1e-6)
+    assert np.linalg.eigvalsh(got.astype(float)).min() > -1e-4 * np.abs(got).max()
+    few = toxicity.Landmarks(units[:9]).kernel(units[9:] + ["", "zz", "😀😀😀😀"])
+    assert few[0].tolist() == pytest.approx([plain_kernel(units[9], y) for y in units[:9]], rel=1e-4, abs=1e-6) and not few[-3:].any()
+
+
+def test_toxicity_by_share_of_words(spark):
+    """Words that clean documents have too tell by how many there are; long, repeated and empty texts."""
+    rng = random.Random(20)
+    def text(n, bad):
+        return " ".join(rng.choice(["achlich", "achkeit"]) + rng.choice(["er", "ung", "en", "zu"]) if rng.random() < bad else f"{rng.choice(['der', 'wort', 'blau', 'mond', 'stein'])}{rng.choice(['e', 'en', 'ig', 'el'])}" for _ in range(n))
+    y = [i % 5 == 0 for i in range(500)]
+    texts = [text(rng.choice([40, 120, 400]), 0.05 if b else 0.002) for b in y]
+    model = toxicity.fit(texts[:300], [int(b) for b in y[:300]])
+    more = [text(60_000, 0.002), text(60_000, 0.05), "achlicher", "", None, texts[0], texts[0]]
+    rows = {r.doc_id: r for r in toxicity.score(docs(spark, [*texts[300:], *more]), model).collect()}
+    right = sum(rows[i].predicted == int(b) for i, b in enumerate(y[300:]))
+    # Of toxic texts of forty words one in eight has no such word.
+    assert right >= 180 and [rows[200 + i].predicted for i in (0, 1, 3, 4)] == [0, 1, 0, 0] and rows[205].score == rows[206].score
+
+
+def test_toxicity_sample_of_repeated_keys(spark):
+    """A key that many rows have gives one text, the shortest."""
+    df = spark.range(1000).selectExpr("cast(7 as long) as doc_id", "repeat('x ', 50 + cast(id % 3 as int)) as text").unionByName(spark.createDataFrame([(8, None), (9, "fine")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0), (9, 0)], "doc_id long, toxic int")
+    assert sorted(toxicity.training_rows(df, labels)) == [("", 0), ("fine", 0), ("x " * 50, 1)]
+
+
 def test_toxicity_sample(spark):
     """Up to 3000 labelled documents, and 16 MB, of each label are learned from."""
     labels = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
