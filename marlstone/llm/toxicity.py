@@ -8,8 +8,8 @@ make up one word. The begin of a word counts as a letter. Landmarks are pieces o
 inverse root of their kernel matrix, are its Nyström features. Two linear support vector machines are trained on them. One takes sentences, which have the margin of their
 highest word: all sentences of clean documents are negative, and of a toxic document the highest one is positive, which is found anew in each round; positive words are also
 given with letters put between theirs. It finds words that are insults wherever they stand. The other takes the mean features of all words of a document: it finds words
-that clean documents have too, but less often. A logistic of both margins, the highest of a text's sentences and that of its mean, is the probability at the shares that
-the labels have.
+that clean documents have too, but less often. A logistic turns each margin, the highest of a text's sentences and that of its mean, into a probability at the shares that
+the labels have, and the higher one is the score.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from marlstone.llm.common import col, kept, lower_ascii, small_batches, texts, with_arrays
 
 #: Letters of a subsequence are within SPAN letters; each letter that it skips counts DECAY. The size of a word is that of LETTERS letters at most; the kernel's power.
-SPAN, DECAY, LETTERS, DEGREE = 7, 0.9, 5, 3
+SPAN, DECAY, LETTERS, DEGREE = 9, 0.95, 5, 3
 #: Labelled documents that the model is fitted on: at most so many of each label, and of each at most those of so many bytes in all.
 MOST_DOCS, MOST_BYTES = 3000, 16 << 20
 #: Landmarks of toxic documents and of clean ones at most; lengths of the pieces; how many landmarks each toxic document should have.
@@ -163,15 +163,16 @@ class Model:
     landmarks: Landmarks
     weights: np.ndarray  # a column for each machine
     bias: float  # of the first
-    logistic: np.ndarray  # weights of both margins, and the constant
+    logistic: tuple  # slope and shift for each machine
 
     def margins(self, units: list[str]) -> np.ndarray:
         """Of bare words: the first machine's margin, the second's part of a mean."""
         return self.landmarks.kernel(units) @ self.weights + np.array([self.bias, 0], np.float32)
 
     def probability(self, highest: np.ndarray, mean: np.ndarray) -> np.ndarray:
-        a, b, c = self.logistic
-        return 1 / (1 + np.exp(-np.clip(a * highest + b * mean + c, -30, 30)))
+        """The higher one of both machines' probabilities."""
+        each = [1 / (1 + np.exp(-np.clip(a * x + b, -30, 30))) for (a, b), x in zip(self.logistic, (highest, mean), strict=True)]
+        return np.maximum(*each)
 
 
 class Scorer:
@@ -225,29 +226,23 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40, seed:
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
-    """Weights and constant of the logistic of least loss, with the smoothed targets of Platt, by Newton steps; the labels weigh as `share` of toxic ones has them. No weight is negative."""
+def _platt(m: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and shift of the logistic of least loss, with the smoothed targets of Platt, by Newton steps; the labels weigh as `share` of toxic ones has them."""
     pos, neg = (y > 0).sum(), (y < 0).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     weight = np.where(y > 0, share / pos, (1 - share) / neg) * len(y)
-    scale = np.maximum(x.std(0), 1e-9)
-    x = np.hstack([x / scale, np.ones((len(x), 1))])
-    live, w = np.ones(x.shape[1], bool), np.zeros(x.shape[1])
-    for _ in range(x.shape[1]):
-        w[:] = 0
-        for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (weight * (p - t)) + 1e-3 * w
-            h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-            step = np.zeros(len(w))
-            step[live] = np.linalg.solve(h[np.ix_(live, live)], g[live])
-            w -= step * min(1.0, 2.0 / max(1e-9, abs(step).max()))
-            if abs(step).max() < 1e-6:
-                break
-        if (w[:-1] >= 0).all():
+    scale = max(float(m.std()), 1e-9)
+    x = np.stack([m / scale, np.ones(len(m))], 1)
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (weight * (p - t)) + 1e-3 * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        w -= step * min(1.0, 2.0 / max(1e-9, abs(step).max()))
+        if abs(step).max() < 1e-6:
             break
-        live[:-1] &= w[:-1] >= 0
-    return np.append(w[:-1] / scale, w[-1])
+    return float(max(w[0] / scale, 0.0)), float(w[1])
 
 
 def _pieces(word: str) -> set[str]:
@@ -265,7 +260,7 @@ def choose_landmarks(docs: list[Counter], y: np.ndarray) -> list[str]:
         (clean if label < 0 else rare).update(d)
     n_pos, n_neg = int((y > 0).sum()), int((y < 0).sum())
     toxic = [d for d, label in zip(docs, y, strict=True) if label > 0]
-    least = max(2, 0.003 * n_pos)
+    least = max(2, 0.01 * n_pos)
     # Most pieces are in a document or two: sets are kept only for those that may be in enough, by counts of hashes, which are never too small.
     bins = np.zeros(1 << 20, np.int64)
     for w, n in rare.items():
@@ -329,7 +324,7 @@ def fit(docs: list[str], toxic: list[int], share: float | None = None) -> Model:
     y = np.array([1 if t else -1 for t in toxic])
     if not len(y) or abs(y.sum()) == len(y):
         share = (sum(1 for t in toxic if t) + 1) / (len(toxic) + 2)
-        return Model(Landmarks([BEGIN + "none"]), np.zeros((1, 2), np.float32), 0.0, np.array([0.0, 0.0, float(np.log(share / (1 - share)))]))
+        return Model(Landmarks([BEGIN + "none"]), np.zeros((1, 2), np.float32), 0.0, ((0.0, float(np.log(share / (1 - share)))),) * 2)
     pool: dict[str, str] = {}  # equal words are one object
     counts, length = [], []
     for t in docs:
@@ -354,7 +349,7 @@ def fit(docs: list[str], toxic: list[int], share: float | None = None) -> Model:
     # To begin with, words are as high as the landmark that they come nearest to.
     score = _closeness(marks, names)
     working: set[int] = set()
-    model = Model(marks, np.zeros((len(marks.units), 2), np.float32), 0.0, np.zeros(3))
+    model = Model(marks, np.zeros((len(marks.units), 2), np.float32), 0.0, ((1.0, 0.0),) * 2)
     for _ in range(ROUNDS):
         tops = Counter(int(o[np.argmax(score[o])]) for o, label in zip(owned, y, strict=True) if label > 0 and len(o))
         wrong = np.flatnonzero((in_clean > 0) & (score > -1))
@@ -371,7 +366,8 @@ def fit(docs: list[str], toxic: list[int], share: float | None = None) -> Model:
         score = found[:, 0]
     highest = np.array([max(model.bias, score[o].max(initial=model.bias)) for o in owned])
     means = np.array([(found[o, 1] * t).sum() / (n + PRIOR) for o, t, n in zip(owned, times, length, strict=True)])
-    model.logistic = _logistic(np.stack([highest, means], 1), y, float((y > 0).mean()) if share is None else share)
+    share = float((y > 0).mean()) if share is None else share
+    model.logistic = (_platt(highest, y, share), _platt(means, y, share))
     return model
 
 
