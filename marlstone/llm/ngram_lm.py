@@ -31,7 +31,7 @@ DISCOUNT = 0.75
 #: Added to each count of a word.
 ADDED = 0.1
 #: Keys that a task gathers before it sums them up; most shards; bytes of text that are put together, and tokens that are looked up at once.
-GATHER, MOST_SHARDS, TEXT_BYTES, MOST_TOKENS = 4_000_000, 4096, 4 << 20, 1 << 20
+GATHER, MOST_SHARDS, TEXT_BYTES, MOST_TOKENS = 2_000_000, 4096, 2 << 20, 1 << 19
 #: Tasks whose counts meet in one place; those of more are summed in rounds.
 FAN_IN = 256
 #: Ids of words have 32 bits in keys.
@@ -42,6 +42,7 @@ _END = _U(0x5EED0FE17D)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _WORKER: dict = {}
+_MAPPED: list[mmap.mmap] = []
 
 
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -228,12 +229,19 @@ def _open(folder: str, name: str) -> dict[str, np.ndarray]:
                     copy.write(part)
                 copy.flush()
                 mapped = mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ)
+        _MAPPED.append(mapped)
         size = int.from_bytes(mapped[:8], "little")
         where = json.loads(mapped[8 : 8 + size])
         _WORKER[key] = {k: np.frombuffer(mapped, np.dtype(t), n, 8 + size + at) for k, (at, t, n) in where.items()}
     return _WORKER[key]
 
 
+def _release() -> None:
+    """Gives back the pages of mapped files that were touched; the system keeps them as long as it has room, and maps them again when they are asked for."""
+    for mapped in _MAPPED:
+        mapped.madvise(mmap.MADV_DONTNEED)
+
+
 def _sequence(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
     return EliasFano.of({k.removeprefix(f"{name}_"): v for k, v in arrays.items() if k.startswith(f"{name}_")})
 
@@ -414,6 +422,7 @@ def _count(df: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray, int], tuple
         for _, texts in _columns(batches):
             for piece in pieces(*token_hashes(texts)):
                 have.add(*_summed(*keys_of(*piece)))
+                _release()
             if len(have.pieces) == 1 and len(have.pieces[0][1]) >= 2 * GATHER:
                 yield _packed(*have.total(), task)
                 have = _Gathered()
@@ -527,6 +536,7 @@ class Trie:
             n = len(h) - skip
             out[at : at + n], counts[at : at + n] = np.log10(chance[skip:]), t["counts"][skip:]
             at += n
+            _release()
         return out, counts
 
 
@@ -553,6 +563,8 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Tri
     words = Words(folder, {r.shard: r.name for r in rows}, {r.shard: r.size for r in rows}, sum(r.total for r in rows), shards)
     trie = Trie(words)
 
+    # A key is a context's number in its shard and a word's id, as close as may be, so that their differences are small.
+    bits = _U(max(1, words.distinct.bit_length()))
     # The begin of a text is the last context of the last shard.
     ends = words.base.copy()
     ends[-1] += 1
@@ -563,11 +575,14 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Tri
         before[begins] = trie.begin
         ids, before = ids[skip:], before[skip:]
         shard = np.searchsorted(ends, before, "right") - 1
-        return shard, ((before - ends[shard]).astype(_U) << _U(32)) | ids.astype(_U)
+        return shard, ((before - ends[shard]).astype(_U) << bits) | ids.astype(_U)
 
     def save_level(begins: np.ndarray, kinds_of: bool):
+        if int(np.diff(begins).max()).bit_length() + int(bits) > 64:
+            raise ValueError("a shard has too many contexts: more shards are needed")
+
         def save(s: int, k: np.ndarray, n: np.ndarray) -> tuple[str, int, int]:
-            local, word = (k >> _U(32)).astype(np.int64), (k & _U(0xFFFFFFFF)).astype(np.int64)
+            local, word = (k >> bits).astype(np.int64), (k & ((_U(1) << bits) - _U(1))).astype(np.int64)
             arrays = _level_arrays(local, word, n, int(begins[s + 1] - begins[s]))
             if kinds_of:  # of how many contexts in this shard each word is a successor
                 each, kinds = np.unique(word, return_counts=True)
@@ -608,10 +623,8 @@ def train(docs: DataFrame, text: str = "text", folder: str | None = None) -> Tri
             at = skip + np.flatnonzero(~begins[skip:])
             before = t["node"][at - 1]
             shard = np.searchsorted(ranges, before, "right") - 1
-            return shard, ((before - ranges[shard]).astype(_U) << _U(32)) | t["ids"][at].astype(_U)
+            return shard, ((before - ranges[shard]).astype(_U) << bits) | t["ids"][at].astype(_U)
 
-        if int(np.diff(ranges).max()) >= 1 << 32:
-            raise ValueError("a shard has too many pairs: more shards are needed")
         rows = _store(_count(docs, three_keys), tasks, shards, save_level(ranges, False)).collect()
         trie.threes = Level(folder, ranges, {r.shard: r.name for r in rows}, {r.shard: r.size for r in rows})
     return trie
