@@ -1,65 +1,107 @@
-"""The body of Markdown texts, by functions of lines and arrays of lines."""
+"""The body of Markdown texts, by functions of lines and arrays of lines.
+
+What a rule needs to know about a line is found once and kept in a struct; later rules, those on neighbours included, look at structs only.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions import fixed
 from marlstone.functions import text as X
 
-#: Words of a page's own interface, and of what stands around an article.
-INTERFACE = ["sign in", "log in", "sign up", "menu", "share", "see all", "read more", "skip to", "accept", "play video"]
-NOISE = ["subscribe", "newsletter", "cookie", "advertisement", "privacy policy", "terms of", "all rights reserved", "copyright", "related articles"]
-
 
-def _has(line: Column, words: list[str]) -> Column:
-    low = F.lower(line)
+def _has(low: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
 
 
-def table_cells(line: Column) -> Column:
-    """Cells of a line between bars that aren't empty."""
-    return F.size(F.filter(F.split(line, r"\|"), lambda c: F.trim(c) != ""))
+def _hits(low: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in words])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def is_separator(line: Column) -> Column:
+    return line.rlike(fixed.TABLE_SEPARATOR)
 
 
 def maybe_table(line: Column) -> Column:
-    return line.contains("|") & (table_cells(line) >= 2)
+    """A separator, or a line of two bars or more and two cells or more that aren't empty."""
+    bars = F.length(line) - F.length(F.translate(line, "|", ""))
+    return is_separator(line) | ((bars >= 2) & (F.size(F.filter(F.split(line, r"\|"), lambda c: F.trim(c) != "")) >= 2))
+
+
+def is_player(line: Column) -> Column:
+    """A line of a player's or a caption menu's interface."""
+    low = F.lower(line)
+    hits, colors = _hits(low, fixed.INTERFACE), _hits(low, fixed.COLORS)
+    percents = F.size(F.regexp_extract_all(line, F.lit(r"\b\d{1,3}%(?=\w)"), F.lit(0)))
+    plain, long = ~X.is_sentence(line), F.length(line) >= 90
+    menu = (plain & long & ((hits >= 4) | ((hits >= 3) & (colors >= 3)))) | ((percents >= 2) & (low.contains("font") | low.contains("opacity")) & plain)
+    return line.rlike(fixed.GLUED) | menu
 
 
 def is_navigation(line: Column) -> Column:
-    """Lists of links, numbered headings and breadcrumbs without a sentence."""
-    return ~X.is_sentence(line) & (line.rlike(r"^\s*([*+-]|\d+[.)])\s") | line.rlike(r"(\s[>»›/|]\s.*){2,}"))
+    """Items of lists, short clusters with bars, and up to three words without a sentence."""
+    plain = ~X.is_sentence(line)
+    words = F.size(F.regexp_extract_all(line, F.lit(fixed.WORDLIKE), F.lit(0)))
+    return line.rlike(r"^([-*•]|\d+\.)\s+\S") | (plain & line.contains("|") & (F.length(line) < 260)) | (plain & (F.length(line) <= 30) & words.between(1, 3))
 
 
 def is_short(line: Column) -> Column:
     return F.when(X.is_sentence(line), F.length(line) < 60).otherwise(F.length(line) < 80)
 
 
-def keeps(line: Column) -> Column:
-    """Whether a line that is no table's belongs to the body."""
-    sentence = X.is_sentence(line)
-    interface = _has(line, INTERFACE) & ~(sentence & (F.length(line) >= 100))
-    noise = _has(line, NOISE) & ~(sentence & (F.length(line) >= 120))
-    return ~X.is_heading(line) & ~interface & ~noise & ~is_navigation(line) & ~is_short(line)
+def is_body(line: Column) -> Column:
+    """A paragraph: long enough, of words, with a sentence, and no cluster of links."""
+    n = lambda pattern: F.size(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)))
+    noise = is_player(line) | _has(F.lower(line), fixed.INLINE_NOISE)
+    enough = (F.length(line) >= 60) & (n(fixed.WORDLIKE) >= 10) & (X.is_sentence(line) | (F.length(line) >= 600))
+    return ~noise & enough & (n(r"\b\d+\.\s") < 2) & ((n(r"\s[*•]\s") < 2) | X.is_sentence(line))
+
+
+def _told(line: Column) -> Column:
+    """blank, table, separator, kept (the line passes the strict filter), body of a normalised line."""
+    low, sentence = F.lower(line), X.is_sentence(line)
+    interface = is_player(line) | (_has(low, fixed.INTERFACE) & ~(sentence & (F.length(line) >= 100))) | line.rlike(fixed.SEE_ALL)
+    noise = _has(low, fixed.INLINE_NOISE) & ~(sentence & (F.length(line) >= 120))
+    table = maybe_table(line)
+    return F.struct(
+        line.alias("s"), (line == "").alias("blank"), table.alias("table"), is_separator(line).alias("separator"),
+        ((line == "") | (~interface & (table | (~noise & ~is_navigation(line) & ~is_short(line))))).alias("kept"),
+    )
+
+
+def _in_table(lines: Column, i: Column) -> Column:
+    """Whether the possible table line i is one, by its neighbours."""
+    at = lambda d, what: F.when(i + d >= 0, F.coalesce(F.get(lines, i + d)[what], F.lit(False))).otherwise(False)
+    both = at(-1, "table") & at(1, "table")
+    return at(0, "separator") | at(-1, "separator") | at(1, "separator") | both | (at(-1, "table") & at(-2, "separator")) | (at(1, "table") & at(2, "separator"))
 
 
 def body(x: Column) -> Column:
-    """Lines of the body, and of tables: those with cells and a neighbour within two lines that has cells too."""
-    lines = F.transform(F.split(F.coalesce(x, F.lit("")), "\n"), lambda s: X.inline(s))
-    table = lambda a, i: F.coalesce(maybe_table(F.get(a, i)), F.lit(False))
-    near = lambda a, i: reduce(lambda p, q: p | q, [table(a, i + d) for d in (-2, -1, 1, 2)])
-    flags = F.transform(lines, lambda s, i: F.when(maybe_table(s) & near(lines, i), True).otherwise(F.coalesce((s != "") & keeps(s), F.lit(False))))
-    kept = F.filter(F.zip_with(lines, flags, lambda s, f: F.struct(s.alias("s"), f.alias("f"))), lambda z: z["f"])
-    return F.array_join(F.transform(kept, lambda z: z["s"]), "\n")
+    """Lines of the body and of tables, without headings, lists, interfaces and what is short. Null and empty texts are empty."""
+    raw = F.split(F.coalesce(x, F.lit("")), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+    # A line that only control characters make up goes; one that is blank separates.
+    lines = F.filter(F.transform(raw, lambda s: F.struct(s.alias("raw"), X.clean(X.strip_control(s)).alias("s"))), lambda z: (~X.is_heading(F.trim(z["raw"]))) & ((z["s"] != "") | (X.clean(z["raw"]) == "")))
+    told = F.filter(F.transform(lines, lambda z: _told(z["s"])), lambda z: z["kept"])
+    single = _let(told, lambda a: F.filter(a, lambda z, i: ~(z["blank"] & F.when(i > 0, F.coalesce(F.get(a, i - 1)["blank"], F.lit(False))).otherwise(False))))
+    chosen = _let(single, lambda a: F.filter(F.transform(a, lambda z, i: F.when(~z["blank"] & F.when(z["table"] & _in_table(a, i), True).otherwise(is_body(z["s"])), z["s"])), lambda s: s.isNotNull()))
+    return F.array_join(chosen, "\n")
 
 
 def long_lines(x: Column, least: int = 100) -> Column:
     """Lines of so many characters and headings, but for headings that nothing follows."""
     some = F.filter(F.split(F.coalesce(x, F.lit("")), "\n"), lambda s: (F.length(F.trim(s)) >= least) | F.trim(s).startswith("#"))
-    last = F.array_max(F.transform(some, lambda s, i: F.when(~F.trim(s).startswith("#"), i + 1).otherwise(F.lit(0))))
-    return F.array_join(F.slice(some, 1, F.coalesce(last, F.lit(0))), "\n")
+    cut = lambda a: F.slice(a, 1, F.coalesce(F.array_max(F.transform(a, lambda s, i: F.when(~F.trim(s).startswith("#"), i + 1).otherwise(F.lit(0)))), F.lit(0)))
+    return F.array_join(_let(some, cut), "\n")
 
 
 def reader_text(x: Column) -> Column:

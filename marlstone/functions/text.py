@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions import fixed
+
 
 def clean(x: Column) -> Column:
     """Runs of any white space become one blank; none at the ends."""
@@ -78,10 +80,10 @@ def uuid_of(x: Column) -> Column:
 
 
 def failure_stage(reason: Column) -> Column:
-    """connect, read, http or other, by what a failed fetch says of itself."""
-    r = F.lower(F.coalesce(reason, F.lit("")))
-    any_of = lambda *words: reduce(lambda a, b: a | b, [r.contains(w) for w in words])
-    return F.when(any_of("connect", "dns", "resolve", "refused", "unreachable"), "connect").when(any_of("read", "timeout", "timed out", "reset"), "read").when(r.rlike(r"http_?\d{3}|\b[45]\d{2}\b"), "http").otherwise("other")
+    """connect, read, http or other, by the markers in what a failed fetch says of itself."""
+    r = F.lower(F.trim(F.coalesce(reason, F.lit(""))))
+    any_of = lambda words: reduce(lambda a, b: a | b, [r.contains(w) for w in words])
+    return F.when(any_of(fixed.FAILED_CONNECT), "connect").when(any_of(fixed.FAILED_READ), "read").when(any_of(fixed.FAILED_HTTP), "http").otherwise("other")
 
 
 def http_status(reason: Column) -> Column:

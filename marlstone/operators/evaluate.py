@@ -61,8 +61,9 @@ def counts_with_total(df: DataFrame, by: str) -> DataFrame:
 
 
 def corpus_stats(passages: DataFrame) -> DataFrame:
-    """source, documents, passages, and a total."""
-    return passages.groupBy("source").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("passages"))
+    """source, documents, passages, and a row `total` over all sources."""
+    rows = passages.rollup("source").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("passages"), F.grouping("source").alias("_g"))
+    return rows.select(F.when(F.col("_g") == 1, "total").otherwise(F.coalesce("source", F.lit("unknown"))).alias("source"), "documents", "passages")
 
 
 def subject_stats(df: DataFrame, month: Column, subjects: Column, tokens: Column) -> DataFrame:

@@ -28,77 +28,92 @@ def interleave(df: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def sqrt_targets(counts: dict[str, int], total: int) -> dict[str, int]:
-    """Shares by the roots of the counts, one at least, whole by largest remainders."""
-    keys = sorted(counts)
-    roots = {k: counts[k] ** 0.5 for k in keys}
-    whole = sum(roots.values()) or 1.0
-    exact = {k: total * roots[k] / whole for k in keys}
-    out = {k: max(1, int(exact[k])) for k in keys}
-    for k in sorted(keys, key=lambda k: (-(exact[k] - int(exact[k])), k)):
-        if sum(out.values()) >= total:
-            break
+    """Shares by the roots of the counts, one at least; what is left goes to the largest remainders, what is too much comes off the largest shares, ties to the larger key."""
+    whole = sum(n**0.5 for n in counts.values()) or 1.0
+    exact = {k: total * n**0.5 / whole for k, n in counts.items()}
+    out = {k: max(1, int(x)) for k, x in exact.items()}
+    over = sum(out.values()) - total
+    for k in sorted(exact, key=lambda k: (exact[k] - int(exact[k]), k), reverse=True)[: max(0, -over)]:
         out[k] += 1
-    while sum(out.values()) > total and any(v > 1 for v in out.values()):
-        k = max(keys, key=lambda k: (out[k], k))
+    for k in [k for k in sorted(exact, key=lambda k: (exact[k], k), reverse=True) if out[k] > 1][: max(0, over)]:
         out[k] -= 1
-    return out
+    return dict(sorted(out.items()))
 
 
 def uniform_targets(values: list[str], total: int) -> dict[str, int]:
     each, rest = divmod(total, max(1, len(values)))
-    return {v: each + (i < rest) for i, v in enumerate(sorted(values))}
+    return {v: each + (i < rest) for i, v in enumerate(sorted(values, key=str))}
 
 
-WEIGHTS = {"domain": 3.0, "difficulty": 3.0, "open_bucket": 2.0, "resolve_bucket": 1.5}
+#: What a row's deficit counts in each column.
+WEIGHTS = {"open_bucket": 3.0, "resolve_bucket": 3.0, "difficulty": 2.0, "domain": 1.5}
+#: Columns in the order in which each value is taken once; the first one's targets go by roots, those of the others are even.
+COVERED = ["domain", "difficulty", "open_bucket", "resolve_bucket"]
+#: Signatures that may come to the driver.
+MOST_SIGNATURES = 100_000
 
 
-def select_subset(df: DataFrame, key: str, size: int, seed: int = 0, weights: dict[str, float] | None = None) -> DataFrame:
-    """`size` rows, balanced over the columns of weights: first each value once, then by the weighted deficits, ties by a seeded draw.
+def select_subset(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
+    """`size` rows, balanced over the columns in COVERED: first each value once, then by the weighted deficits, ties by a seeded draw. All rows, if there are no more.
 
-    A row matters only by its signature (its values in those columns). Signatures and their counts come to the driver, which are few, not
-    rows; the choice says how many of each to take, and windows take those with the smallest hash of the key.
+    A row matters only by its signature (its values in those columns). Signatures and their counts come to the driver, not rows; more than MOST_SIGNATURES of them are an
+    error. The choice says how many of each to take, and windows take those with the smallest hash of the key.
     """
-    weights = weights or WEIGHTS
-    columns = list(weights)
-    counts = {tuple(r[c] for c in columns): r["count"] for r in df.groupBy(*columns).count().collect()}
-    take = choose(counts, columns, size, seed, weights)
+    if size <= 0:
+        raise ValueError("size must be positive")
+    counts = df.groupBy(*COVERED).count()
+    if counts.limit(MOST_SIGNATURES + 1).count() > MOST_SIGNATURES:
+        raise ValueError(f"more than {MOST_SIGNATURES} combinations of {COVERED}: put their values into fewer classes")
+    take = choose({tuple(r[c] for c in COVERED): r["count"] for r in counts.collect()}, size, seed)
     rows = [(*k, n) for k, n in take.items()]
     if not rows:
         return df.limit(0)
-    plan = df.sparkSession.createDataFrame(rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[c] for c in columns)) + ", _take int")
-    nth = F.row_number().over(Window.partitionBy(*columns).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    met = df.withColumn("_nth", nth).join(F.broadcast(plan), [df[c].eqNullSafe(plan[c]) for c in columns])
+    plan = df.sparkSession.createDataFrame(rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[c] for c in COVERED)) + ", _take int")
+    nth = F.row_number().over(Window.partitionBy(*COVERED).orderBy(F.xxhash64(key, F.lit(seed)), key))
+    met = df.withColumn("_nth", nth).join(F.broadcast(plan), [df[c].eqNullSafe(plan[c]) for c in COVERED])
     return met.filter(F.col("_nth") <= F.col("_take")).select(*[df[c] for c in df.columns])
 
 
-def choose(counts: dict[tuple, int], columns: list[str], size: int, seed: int, weights: dict[str, float]) -> dict[tuple, int]:
+def targets(counts: dict[tuple, int], size: int) -> dict[str, dict]:
+    """How many rows each value of each column should have."""
+    out: dict[str, dict] = {}
+    for i, c in enumerate(COVERED):
+        each: Counter = Counter()
+        for k, n in counts.items():
+            each[k[i]] += n
+        out[c] = sqrt_targets(each, size) if i == 0 else uniform_targets(list(each), size)
+    return out
+
+
+def choose(counts: dict[tuple, int], size: int, seed: int) -> dict[tuple, int]:
     """How many rows of each signature to take."""
-    rng = random.Random(seed)
+    if sum(counts.values()) <= size:
+        return dict(counts)
+    goal = targets(counts, size)
     left, taken = dict(counts), Counter()
-    have = {c: Counter() for c in columns}
-    values = {c: sorted({k[i] for k in counts}, key=str) for i, c in enumerate(columns)}
-    target = {c: dict(zip(values[c], uniform_targets([str(i).zfill(6) for i in range(len(values[c]))], size).values(), strict=True)) for c in columns}
+    have: dict[str, Counter] = {c: Counter() for c in COVERED}
+    rng = random.Random(seed)
     draw = {k: rng.random() for k in sorted(counts, key=str)}
 
-    def gain(k: tuple) -> float:
-        return sum(weights[c] * max(0, target[c][k[i]] - have[c][k[i]]) / max(1, target[c][k[i]]) + 0.05 / (1 + have[c][k[i]]) for i, c in enumerate(columns))
-
-    def add(k: tuple) -> None:
-        left[k] -= 1
-        if not left[k]:
-            del left[k]
-        taken[k] += 1
-        for i, c in enumerate(columns):
-            have[c][k[i]] += 1
-
-    for i, c in enumerate(columns):
-        for v in values[c]:
-            if have[c][v] or sum(taken.values()) >= size:
-                continue
-            if some := [k for k in left if k[i] == v]:
-                add(max(some, key=lambda k: (gain(k), draw[k])))
-    while left and sum(taken.values()) < size:
-        add(max(left, key=lambda k: (gain(k), draw[k])))
+    def worth(k: tuple) -> tuple[float, float]:
+        pull = sum(WEIGHTS[c] * max(0, goal[c][v] - have[c][v]) + 0.05 / (1 + have[c][v]) for c, v in zip(COVERED, k, strict=True))
+        return pull, draw[k]
+
+    def take(some: list[tuple]) -> None:
+        if some and taken.total() < size:
+            best = max(some, key=worth)
+            taken[best] += 1
+            left[best] -= 1
+            if not left[best]:
+                del left[best]
+            for c, v in zip(COVERED, best, strict=True):
+                have[c][v] += 1
+
+    for i, c in enumerate(COVERED):
+        for v in sorted(goal[c], key=lambda v: (goal[c][v], str(v)) if i == 0 else str(v)):  # noqa: B023
+            take([k for k in left if k[i] == v])
+    while left and taken.total() < size:
+        take(list(left))
     return dict(taken)
 
 

@@ -19,19 +19,21 @@ def with_default(series: DataFrame, keys: DataFrame, key: str, day: Column, p: C
 
 
 def as_of(points: DataFrame, targets: DataFrame, key: str, t: str, p: str, target: str, forward_days: Column | None = None) -> DataFrame:
-    """targets with value: the last p at or before the target time, else the first after it if within forward_days.
+    """targets with value: the last p at or before the target time, else the first after it if within forward_days. Of points of one time the last has the largest p.
 
-    Both tables meet by key; each target keeps an aggregate of two values, not its points.
+    Points and targets of a key stand in one order of time; each target looks back, and ahead, for the nearest point. No target meets more than that one.
     """
-    columns = targets.columns
-    rows = targets.withColumn("_id", F.monotonically_increasing_id())
-    met = rows.join(points.select(F.col(key).alias(key), F.col(t).alias("_t"), F.col(p).alias("_p")), key, "left")
-    late = F.unix_micros("_t") - F.unix_micros(target)
-    best = met.groupBy("_id", *columns).agg(
-        F.max(F.when(F.col("_t") <= F.col(target), F.struct("_t", "_p"))).alias("_back"),
-        F.min(F.when((F.col("_t") > F.col(target)) & (late <= (forward_days if forward_days is not None else F.lit(0)) * F.lit(86_400_000_000)), F.struct("_t", "_p"))).alias("_ahead"),
-    )
-    return best.withColumn("value", F.coalesce("_back._p", "_ahead._p")).drop("_id", "_back", "_ahead")
+    tolerance = forward_days if forward_days is not None else F.lit(0)
+    asked = targets.select(F.col(key).alias("_k"), F.col(target).alias("_t"), F.lit(1).alias("_asked"), F.lit(None).cast(points.schema[p].dataType).alias("_p"), tolerance.alias("_days"), F.struct(*targets.columns).alias("_row"))
+    given = points.select(F.col(key).alias("_k"), F.col(t).alias("_t"), F.lit(0).alias("_asked"), F.col(p).alias("_p"))
+    rows = given.unionByName(asked, allowMissingColumns=True)
+    seen = F.when(F.col("_asked") == 0, F.struct("_t", "_p"))
+    back = Window.partitionBy("_k").orderBy("_t", "_asked", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("_k").orderBy(F.col("_t").desc(), F.col("_asked").desc(), F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_back", F.last(seen, True).over(back)).withColumn("_ahead", F.last(seen, True).over(ahead)).filter("_asked = 1")
+    late = F.unix_micros("_ahead._t") - F.unix_micros("_t")
+    value = F.coalesce("_back._p", F.when(late <= F.col("_days") * F.lit(86_400_000_000), F.col("_ahead._p")))
+    return rows.select("_row.*", value.alias("value"))
 
 
 def forward_tolerance(offset_days: Column) -> Column:

@@ -256,7 +256,7 @@ def status_counts(spark, sf):
     return evaluate.counts_with_total(table(spark, sf, "events"), "event_type")
 
 
-@query("SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS passages FROM documents GROUP BY source")
+@query("SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS passages FROM documents GROUP BY source UNION ALL SELECT 'total', count(DISTINCT doc_id), count(*) FROM documents")
 def corpus_stats(spark, sf):
     return evaluate.corpus_stats(table(spark, sf, "documents"))
 
@@ -422,10 +422,8 @@ def memory_merge(spark, sf):
     return memory.consolidate(_store(spark, sf), 0.5).drop("embedding")
 
 
-def _memory_hits(spark, sf, k):
-    store = _store(spark, sf)
-    asked = table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("vector"), F.concat(F.lit("d"), F.col("label").cast("string")).alias("domain"), F.lit("2024-01-15").alias("cutoff"))
-    return memory.retrieve(store, asked, k, domain="domain")
+def _asked(spark, sf):
+    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("vector"), F.concat(F.lit("d"), F.col("label").cast("string")).alias("domain"), F.lit("2024-01-15").alias("cutoff"))
 
 
 _HITS = f"""WITH s AS ({_EXPERIENCES}), h AS (SELECT q.vec_id AS qid, s.vec_id, s.level, s.resolved, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN s ON q.label = s.label WHERE q.vec_id % 50 = 0 AND s.resolved <= 14),
@@ -434,12 +432,12 @@ _HITS = f"""WITH s AS ({_EXPERIENCES}), h AS (SELECT q.vec_id AS qid, s.vec_id,
 
 @query(f"{_HITS} SELECT qid, lpad(CAST(vec_id AS VARCHAR), 9, '0') AS experience_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def memory_retrieve(spark, sf):
-    return _memory_hits(spark, sf, 5).select("qid", "experience_id", F.round("score", 6).alias("score"), "rank")
+    return memory.retrieve(_store(spark, sf), _asked(spark, sf), 5, domain="domain").select("qid", "experience_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"{_HITS}, b AS (SELECT *, row_number() OVER (PARTITION BY qid, level ORDER BY round(score, 9) DESC, resolved DESC, vec_id DESC) AS n FROM r WHERE rank <= 50) SELECT qid, level, lpad(CAST(vec_id AS VARCHAR), 9, '0') AS experience_id FROM b WHERE n <= CASE level WHEN 'strategy' THEN 1 WHEN 'pattern' THEN 2 ELSE 1 END")
+@query(f"{_HITS}, b AS (SELECT *, row_number() OVER (PARTITION BY qid, level ORDER BY round(score, 9) DESC, resolved DESC, vec_id DESC) AS n FROM r) SELECT qid, level, lpad(CAST(vec_id AS VARCHAR), 9, '0') AS experience_id FROM b WHERE n <= CASE level WHEN 'strategy' THEN 1 WHEN 'pattern' THEN 2 ELSE 1 END")
 def memory_bundle(spark, sf):
-    return memory.bundle(_memory_hits(spark, sf, 50), {"strategy": 1, "pattern": 2, "case": 1}).select("qid", "level", "experience_id")
+    return memory.bundle(_store(spark, sf), _asked(spark, sf), {"strategy": 1, "pattern": 2, "case": 1}, domain="domain").select("qid", "level", "experience_id")
 
 
 @query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
@@ -469,10 +467,14 @@ def fixed_subset(spark, sf):
 ORACLE_SQL["fixed_subset"] = ORACLE_SQL["fixed_subset"].replace("3000000, ", "")
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'connect' WHEN 1 THEN 'read' WHEN 2 THEN 'http' ELSE 'other' END AS stage, CASE WHEN event_id % 4 = 2 THEN CAST(400 + event_id % 100 AS INTEGER) END AS status FROM events")
+_REASONS = ["Connection refused by host", "connection reset by peer", "httpx.ConnectTimeout", "timed out", "ReadTimeout after 30s", "timed out while reading", "engine_http_", "status=", "DNS lookup failed", "unknown"]
+
+
+@query("SELECT event_id, ['connect', 'other', 'connect', 'other', 'read', 'read', 'http', 'http', 'connect', 'other'][CAST(event_id % 10 AS INTEGER) + 1] AS stage, CASE WHEN event_id % 10 = 6 THEN CAST(400 + event_id % 100 AS INTEGER) END AS status FROM events")
 def failure_classes(spark, sf):
     i = F.col("event_id")
-    reason = F.when(i % 4 == 0, "Connection refused by host").when(i % 4 == 1, "timed out").when(i % 4 == 2, F.concat(F.lit("engine_http_"), (400 + i % 100).cast("string"))).otherwise("unknown")
+    reason = F.element_at(F.lit(_REASONS), (i % 10 + 1).cast("int"))
+    reason = F.when(i % 10 == 6, F.concat(reason, (400 + i % 100).cast("string"))).otherwise(reason)
     return table(spark, sf, "events").select("event_id", X.failure_stage(reason).alias("stage"), X.http_status(reason).alias("status"))
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder in spark.checkpoint.dir; where that is unset, as in tests on one machine, a local folder takes its place."""
+    """A new folder in spark.checkpoint.dir. Where that is unset a local folder takes its place, but only if driver and executors are one machine's."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "marlstone-checkpoints")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/marlstone-{purpose}-{uuid.uuid4().hex}"

@@ -100,6 +100,56 @@ def test_html_rows(spark):
     assert rows[0].n_blocks == 4 and rows[1].title is None and rows[1].main_text == ""
 
 
+LONG = "This is a plain sentence of an article, and it is long enough to be taken for a paragraph of its body by every rule."
+
+
+@pytest.mark.parametrize(
+    ("line", "kept"),
+    [
+        (LONG, True), ("# " + LONG, False), ("- " + LONG, False), ("3. " + LONG, False), ("Short sentence.", False), ("Health", False), ("See all of the stories. " + LONG, False),
+        (LONG + " Subscribe now.", False), (LONG.replace("plain", "green"), True), ("A green line that is a sentence but shorter than a hundred characters, mind you.", False),
+        (LONG + " It has 1. one 2. two items", False), ("word " * 20 + "without an end", False), ("word " * 130 + "without an end", True), ("OpacityOpaque " + LONG, False),
+        ("Fewer words but " + "x" * 80 + " long.", False), ("a | b " + "c" * 90, False),
+    ],
+)
+def test_markdown_lines(spark, line, kept):
+    assert one(spark, markdown.body, line) == (line.strip() if kept else "")
+
+
+@pytest.mark.parametrize(
+    ("lines", "kept"),
+    [
+        (["| a | b |", "|---|---|", "| 1 | 2 |"], [0, 1, 2]), (["| a | b |"], []), (["| a | b |", "| 1 | 2 |"], []), (["| a | b |", "| 1 | 2 |", "| 3 | 4 |"], [1]),
+        (["| a | b |", "", "|---|---|"], [2]), (["|---|---|"], [0]), (["| a |", "|---|---|"], [1]), (["| a | b |", "Health", "|---|---|"], [0, 2]), (["|---|---|", "| a | b |", "| c | d |"], [0, 1, 2]),
+    ],
+)
+def test_markdown_tables(spark, lines, kept):
+    assert one(spark, markdown.body, "\n".join(lines)) == "\n".join(lines[i] for i in kept)
+
+
+@pytest.mark.parametrize(
+    ("reason", "stage"),
+    [("connection reset by peer", "other"), ("ConnectTimeout", "connect"), ("All connection attempts failed", "connect"), ("NXDOMAIN", "connect"), ("timed out", "other"), ("httpx.ReadTimeout", "read"), ("status=418", "http"), ("got 503", "http"), ("404", "other"), (None, "other"), ("resolve", "other")],
+)
+def test_failure_stage(spark, reason, stage):
+    assert one(spark, X.failure_stage, reason) == stage
+
+
+def test_titles_and_descriptions():
+    pick = lambda x: html.pick_title(html.read(x))
+    assert pick("<h1>Privacy for all of us</h1><title>A fine day at sea | Site</title>") == "A fine day at sea"
+    assert pick('<meta name="citation_title" content="The cited title here"><title>x</title>') == "The cited title here"
+    assert pick("<h1>First of two headings</h1><h1>Second of two headings, longer</h1>") == "First of two headings"
+    assert pick('<script type="application/ld+json">[{"title": "Told by a list of things"}]</script>') == "Told by a list of things"
+    told = lambda x: html.pick_description(html.read(x))
+    ld = '<script type="application/ld+json">{"description": "The description of the linked data, which is long enough. It goes on and on."}</script>'
+    assert told('<meta name="dc.abstract" content="An abstract that is just about forty characters">' + ld).startswith("An abstract")
+    assert told('<meta name="description" content="short">' + ld).startswith("The description of the linked")
+    p = "<p>" + "a paragraph of words " * 5 + "</p>"
+    assert told("<p>" + "outside " * 20 + "</p><article>" + p + "</article>").startswith("a paragraph") and told("<p>" + "outside " * 20 + "</p><main><p>x</p></main>") is None
+    assert told(p).startswith("a paragraph") and told("") is None
+
+
 def test_markdown(spark):
     long = "This sentence belongs to the body of the text because it is long enough to be one."
     text = "\n".join(["# Head", long, "short", "| a | b |", "|---|---|", "| 1 | 2 |", "", "Subscribe to our newsletter today and get all of the updates now please do."])

@@ -110,6 +110,23 @@ def test_streaks(spark):
     assert [r.streak for r in rows] == [1, 2, 0, 1, 2, 3, 0, 1] and [r.skipped for r in rows] == [False] * 6 + [True] * 2
 
 
+def test_selection_follows_targets():
+    """Even targets of the buckets weigh most; domains follow the roots of their counts."""
+    counts = {("big", "x", o, r): 8 for o in range(3) for r in range(3)} | {("small", "x", 0, 0): 2}
+    taken = selection.choose(counts, 18, 1)
+    by = lambda i: {v: sum(n for k, n in taken.items() if k[i] == v) for v in {k[i] for k in taken}}
+    assert by(2) == {0: 6, 1: 6, 2: 6} and by(3) == {0: 6, 1: 6, 2: 6} and by(0) == {"big": 16, "small": 2}
+    assert selection.targets(counts, 18)["domain"] == {"big": 15, "small": 3}
+    assert selection.choose(counts, 100, 1) == counts
+
+
+def test_lucene_fills_with_zeros(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["red apple", "the the", "green pear", "apple apple pie"])], "id long, text string")
+    asked = spark.createDataFrame([(1, "apple"), (2, "nothing")], "q long, text string")
+    got = {(r.qid, r["rank"]): (r.row, r.score > 0) for r in retrieval.bm25(df, asked, "id", "text", "q", "text", 3, "lucene").collect()}
+    assert got == {(1, 1): (3, True), (1, 2): (0, True), (1, 3): (1, False), (2, 1): (0, False), (2, 2): (1, False), (2, 3): (2, False)}
+
+
 def test_selection(spark):
     rows = [(i, f"d{i % 4}", f"x{i % 3}", i % 4, i % 3) for i in range(24)]
     df = spark.createDataFrame(rows, "id long, domain string, difficulty string, open_bucket long, resolve_bucket long")
@@ -119,6 +136,7 @@ def test_selection(spark):
     assert {r[1] for r in picked} == {"d0", "d1", "d2", "d3"} and {r[2] for r in picked} == {"x0", "x1", "x2"}
     assert selection.select_subset(df, "id", 100).count() == 24 and selection.select_subset(df.limit(0), "id", 3).count() == 0
     assert selection.sqrt_targets({"a": 100, "b": 1}, 11) == {"a": 10, "b": 1}
+    assert selection.sqrt_targets({"a": 9, "b": 4, "c": 1}, 7) == {"a": 4, "b": 2, "c": 1} and selection.sqrt_targets({k: 1 for k in "abcd"}, 2) == {k: 1 for k in "abcd"}
     assert selection.uniform_targets(["b", "a"], 3) == {"a": 2, "b": 1}
     assert selection.water_fill({"a": 1, "b": 9, "c": 9}, 9, 2) == {"a": 1, "b": 4, "c": 4}
 
