@@ -149,3 +149,103 @@ def select(markets: DataFrame, sampled: DataFrame, horizons: dict[str, int], siz
         return markets.limit(0)
     met = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_sig").orderBy("market_id"))).join(F.broadcast(markets.sparkSession.createDataFrame(plan, "_sig string, _take long")), "_sig")
     return met.filter(F.col("_n") <= F.col("_take")).select(*markets.columns)
+
+
+#: What a gap at a horizon (in days) counts; other horizons count 1.
+DEFICIT_WEIGHTS = {30: 3.0, 7: 1.4, 1: 1.0}
+
+
+def deficit_scores(candidates: DataFrame, counts: DataFrame, offsets: list[int], quota: int, domain: str = "domain", duration: str = "duration_days") -> DataFrame:
+    """Candidates with deficit: over the horizons that they last for, how many questions their domain lacks there, weighted. counts has offset, domain and n; domains without a count lack all."""
+    wide = counts.groupBy(F.col("domain").alias("_d")).agg(*[F.sum(F.when(F.col("offset") == d, F.col("n"))).alias(f"_n{d}") for d in offsets])
+    gap = lambda d: F.greatest(F.lit(quota) - F.coalesce(f"_n{d}", F.lit(0)), F.lit(0)) * F.lit(DEFICIT_WEIGHTS.get(d, 1.0))
+    score = sum((F.when(F.col(duration) >= d, gap(d)).otherwise(0.0) for d in offsets), F.lit(0.0))
+    return candidates.join(wide, F.col(domain) == F.col("_d"), "left").select(*candidates.columns, score.alias("deficit"))
+
+
+def next_batch(scored: DataFrame, n: int, key: str, duration: str = "duration_days", volume: str = "volume") -> DataFrame:
+    """The n candidates of highest deficit, then duration, then volume, then smallest key; those of a positive deficit only, if there are any."""
+    any_ = scored.agg(F.coalesce(F.max("deficit"), F.lit(0.0)).alias("_top"))
+    rows = scored.crossJoin(F.broadcast(any_)).filter((F.col("deficit") > 0) | (F.col("_top") <= 0)).drop("_top")  # one row
+    return rows.orderBy(F.col("deficit").desc(), F.col(duration).desc(), F.col(volume).desc(), key).limit(n)
+
+
+def horizon_weights(offsets: list[int]) -> dict[int, float]:
+    """Even for 30, 7 and 1 days; otherwise by the inverse root of the days."""
+    if sorted(offsets) == [1, 7, 30]:
+        return dict.fromkeys(offsets, 1 / 3)
+    raw = {d: max(d, 1.0) ** -0.5 for d in offsets}
+    return {d: x / (sum(raw.values()) or 1.0) for d, x in raw.items()}
+
+
+def target_count(pool: int, least: int, most: int, ratio: float) -> int:
+    """A share of the pool within bounds, no more than the pool."""
+    return 0 if pool <= 0 else max(1, min(max(least, round(pool * ratio)), most, pool))
+
+
+def horizon_targets(offsets: list[int], least: dict[int, int], total: int) -> dict[str, int]:
+    return {f"{d}d": max(least.get(d, 0), round(total * w)) for d, w in horizon_weights(offsets).items()}
+
+
+def subset_stats(subset: DataFrame, pool_size: int, dimensions: list[str], ranges: list[str]) -> DataFrame:
+    """dimension, value, n: sizes of the subset and its pool, counts by each dimension, and first and last value (as n null) of each range."""
+    size = subset.agg(F.count("*").alias("n")).select(F.lit("size").alias("dimension"), F.explode(F.array(F.struct(F.lit("selected").alias("value"), "n"), F.struct(F.lit("available").alias("value"), F.lit(pool_size).cast("bigint").alias("n")))).alias("x")).select("dimension", "x.*")
+    out = size
+    for d in dimensions:
+        out = out.unionByName(subset.groupBy(F.col(d).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(d).alias("dimension"), "value", "n"))
+    for r in ranges:
+        ends = subset.agg(F.array(F.struct(F.lit(f"{r}:start").alias("dimension"), F.min(r).cast("string").alias("value")), F.struct(F.lit(f"{r}:end").alias("dimension"), F.max(r).cast("string").alias("value"))).alias("a"))
+        out = out.unionByName(ends.select(F.inline("a")).select("dimension", F.coalesce("value", F.lit("")).alias("value"), F.lit(None).cast("bigint").alias("n")))
+    return out
+
+
+def check_manifest(ids: list, source_file: str | None) -> list[str]:
+    """The ids of a fixed subset as texts; an error if there is no source, no id, an empty one or one that repeats."""
+    out = [str(i).strip() for i in ids or []]
+    if not (source_file or "").strip() or not out or "" in out or len(set(out)) < len(out):
+        raise ValueError("a fixed subset needs a source file and ids, none of them empty or repeated")
+    return out
+
+
+def check_stats(expected: dict | None, actual: dict) -> None:
+    """An error if the sizes and counts that a manifest tells aren't those found."""
+    for k in ("selected_count", "domains", "difficulties"):
+        if expected and k in expected and expected[k] != actual[k]:
+            raise ValueError(f"{k}: {expected[k]!r} expected, {actual[k]!r} found")
+
+
+def dominant_difficulty(sampled: Column) -> Column:
+    """Of a map of horizons to samples the difficulty at 30, else 7, else 1 day, else at the first there is; unknown if there is none."""
+    at = lambda h: F.when(F.map_contains_key(sampled, F.lit(h)), F.coalesce(sampled[h]["difficult"], F.lit("unknown")))
+    first = F.get(F.map_values(sampled), F.lit(0))["difficult"]
+    return F.coalesce(at("30d"), at("7d"), at("1d"), first, F.lit("unknown"))
+
+
+def span_days(times: Column) -> Column:
+    """Days between the first and the last time of a series, 0 for fewer than two."""
+    return F.when(F.size(times) < 2, 0.0).otherwise(F.greatest((F.unix_micros(F.element_at(times, -1)) - F.unix_micros(F.get(times, F.lit(0)))) / F.lit(86_400_000_000.0), F.lit(0.0)))
+
+
+def offsets_of(keys: Column) -> Column:
+    """Days of horizon keys such as 30d, each once, the longest first."""
+    return F.sort_array(F.array_distinct(F.filter(F.transform(keys, lambda k: F.regexp_extract(k, r"^(\d+)d$", 1).try_cast("int")), lambda d: d.isNotNull())), asc=False)
+
+
+def schema_errors(answer: Column, series: Column, sampled: Column, offsets: list[int]) -> Column:
+    """How many things are wrong with a market: an answer other than 0 and 1, probabilities outside 0 to 1, times that fall, no samples, samples that lack a part."""
+    one = lambda c: F.coalesce(c, F.lit(True)).cast("int")
+    bad_p = F.size(F.filter(series, lambda x: F.coalesce(~x["p_yes"].between(0, 1), F.lit(True))))
+    fall = F.size(F.filter(F.transform(series, lambda x, i: F.when(i > 0, F.get(series, i - 1)["t"] > x["t"]).otherwise(False)), lambda f: F.coalesce(f, F.lit(False))))
+    no_t = F.size(F.filter(series, lambda x: x["t"].isNull()))
+    lack = F.size(F.filter(F.map_entries(sampled), lambda e: e["key"].isin([f"{d}d" for d in offsets]) & (e["value"]["p_yes"].isNull() | e["value"]["difficult"].isNull() | e["value"]["t"].isNull())))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return one(~answer.isin(0, 1)) + zero(F.when(series.isNotNull(), bad_p + fall + no_t)) + one(F.coalesce(F.size(sampled) == 0, F.lit(True))) + zero(F.when(sampled.isNotNull(), lack))
+
+
+def by_coverage(duration: Column, volume: Column, key: Column) -> list[Column]:
+    return [duration.desc(), volume.desc(), key]
+
+
+def by_panel(sampled: Column, series: Column, key: Column) -> list[Column]:
+    """More horizons first, then longer series, then the smaller key."""
+    return [F.coalesce(F.size(sampled), F.lit(0)).desc(), F.coalesce(F.size(series), F.lit(0)).desc(), key]

@@ -78,12 +78,6 @@ def bm25_topk(spark, sf):
     return best.select("qid", "row", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
-def bm25_lucene_topk(spark, sf):
-    best = retrieval.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", 20, "lucene")
-    return best.select("qid", "row", F.round("score", 6).alias("score"), "rank")
-
-
 _DENSE = """s AS (SELECT q.vec_id AS qid, c.vec_id AS "row", list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),
     dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, "row") AS INTEGER) AS rank FROM s)"""
 
@@ -506,3 +500,6 @@ def market_samples(spark, sf):
 def question_set(spark, sf):
     markets, prices = _markets(spark, sf)
     return questions.select(markets.select("market_id", "domain", "question"), questions.samples(markets, prices), {"30d": 20, "7d": 30, "1d": 30}, 40)
+
+
+from marlstone import contract_queries  # noqa: E402, F401  registers further queries
