@@ -1,7 +1,8 @@
 """Byte-level BPE with the tiktoken library and a local rank file.
 
-Token ids are packed: a binary column of little-endian unsigned 32-bit integers. Long texts are cut at safe boundaries before they
-are encoded, so that neither the library's pattern nor a batch ever meets an unbounded text; the ids are those of the whole text.
+Token ids are packed: a binary column of little-endian unsigned 32-bit integers. Long texts are cut at safe boundaries before they are encoded, so that the library
+meets pieces of bounded size; the ids are those of the whole text. What has no such boundary, a run of one kind of characters (letters without an end, blanks only), is one
+piece however long: it is one match of the pattern, which has to be encoded as one.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from marlstone.llm.common import kept, small_batches, texts, with_arrays
 
 #: A text longer than this many characters is cut.
 PIECE = 65_536
-#: A blank after an ASCII letter, digit or common mark always begins a match: no match of the pattern goes from other characters
-#: into white space, and what follows is matched without regard to what precedes.
-_SAFE = re.compile("[A-Za-z0-9.,;:!?](?= )")
+#: Places where a match always ends and the next begins, as no match of the pattern goes on over them and none looks back: before white space; between letters and digits; between
+#: letters or digits and common marks, but for an apostrophe, which may begin a match with the letters that follow.
+_LETTER = "A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff"
+_MARK = ".,;:!?()\u3001\u3002\uff01\uff0c\uff1f\u300c\u300d"
+_SAFE = re.compile(f"[^\\s\x1c-\x1f](?=[ \\t\\n\\r\u3000])|[{_LETTER}](?=[0-9{_MARK}])|[0-9](?=[{_LETTER}{_MARK}])|[{_MARK}](?=[0-9{_LETTER}])")
 _WORKER: dict = {}
 
 

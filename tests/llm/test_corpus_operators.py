@@ -65,8 +65,23 @@ def test_byte_bpe(spark, monkeypatch):
         assert np.frombuffer(r.token_ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
         assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
     monkeypatch.setattr(byte_bpe, "PIECE", 20)
+    odd = list("abcXY019 .,;:!?()'\n\t\r\u3000\x1c\x85\u00a0日本語かなカナー・。、「」！é½²٣_-") + ["'s", "'ll", "  ", "\n\n", "n't"]
+    texts += ["".join(rng.choice(odd) for _ in range(300)) for _ in range(200)] + ["日本語です。" * 50, "a1" * 100, "line\n" * 100, "x" * 5000]
     for t in [x for x in texts if x]:
-        assert "".join(byte_bpe.cut(t, 20)) == t and byte_bpe.encode_one(enc, t).tolist() == enc.encode_ordinary(t)
+        assert "".join(byte_bpe.cut(t, 5)) == t and np.concatenate([enc.encode_ordinary(x) for x in byte_bpe.cut(t, 5)]).tolist() == enc.encode_ordinary(t) and byte_bpe.encode_one(enc, t).tolist() == enc.encode_ordinary(t)
+
+
+def test_byte_bpe_long_and_odd(spark):
+    """Long texts of any script are cut; null ids give null, unknown ids are an error."""
+    enc = byte_bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    long = ["日本語のとても長い文です。" * 8000, "line of text\n" * 20_000, "a1" * 60_000]
+    assert all(max(map(len, byte_bpe.cut(t))) < byte_bpe.PIECE + 100 for t in long)
+    rows = byte_bpe.encode(docs(spark, long), RANKS, public_tokenizers.PATTERN).collect()
+    assert all(np.frombuffer(r.token_ids, "<u4").tolist() == enc.encode_ordinary(long[r.doc_id]) for r in rows)
+    ids = spark.createDataFrame([(1, None), (2, b"")], "k int, token_ids binary")
+    assert {r.k: r.decoded for r in byte_bpe.decode(ids, RANKS).collect()} == {1: None, 2: b""}
+    with pytest.raises(Exception, match="KeyError"):
+        byte_bpe.decode(spark.createDataFrame([(b"\xff\xff\xff\x7f",)], "token_ids binary"), RANKS).collect()
 
 
 def test_warc(spark, monkeypatch):
