@@ -342,12 +342,16 @@ def fit(docs: list[str], toxic: list[int], share: float | None = None) -> Model:
     value, vector = np.linalg.eigh(marks.gram + 1e-2 * np.eye(len(marks.gram)))
     white = (vector / np.sqrt(value)) @ vector.T
     blocks = [(lo, min(lo + 8192, len(names))) for lo in range(0, len(names), 8192)]
-    mean = _means(marks, names, blocks, owned, times, length) @ white
+    # Kernel values of all words, once, in half precision: two bytes a word and landmark.
+    values = np.zeros((len(names), len(marks.units)), np.float16)
+    for lo, hi in blocks:
+        values[lo:hi] = marks.kernel(names[lo:hi])
+    mean = _means(values, blocks, owned, times, length) @ white
     size = np.sqrt((mean**2).sum(1).mean()) or 1.0
     both = np.where(y > 0, share or (y > 0).mean(), 1 - (share or (y > 0).mean())) / np.where(y > 0, (y > 0).sum(), (y < 0).sum())
     second = _svm(mean / size, y, 100.0 * both * len(y))
     # To begin with, words are as high as the landmark that they come nearest to.
-    score = _closeness(marks, names)
+    score = np.concatenate([(values[lo:hi] / np.diag(marks.gram).astype(np.float32)).max(1) for lo, hi in blocks])
     working: set[int] = set()
     model = Model(marks, np.zeros((len(marks.units), 2), np.float32), 0.0, ((1.0, 0.0),) * 2)
     for _ in range(ROUNDS):
@@ -362,7 +366,7 @@ def fit(docs: list[str], toxic: list[int], share: float | None = None) -> Model:
         cost = np.concatenate([heavy, np.repeat(heavy, 2) / 4, 4 * light, [len(y)]])
         w = _svm(x, np.concatenate([np.ones(3 * len(positive)), -np.ones(len(negative) + 1)]), cost)
         model.weights, model.bias = np.stack([white @ w[:-1], white @ second[:-1] / size], 1).astype(np.float32), float(w[-1])
-        found = np.concatenate([model.margins(names[lo:hi]) for lo, hi in blocks])
+        found = np.concatenate([values[lo:hi].astype(np.float32) @ model.weights for lo, hi in blocks]) + np.array([model.bias, 0], np.float32)
         score = found[:, 0]
     highest = np.array([max(model.bias, score[o].max(initial=model.bias)) for o in owned])
     means = np.array([(found[o, 1] * t).sum() / (n + PRIOR) for o, t, n in zip(owned, times, length, strict=True)])
@@ -371,22 +375,21 @@ def fit(docs: list[str], toxic: list[int], share: float | None = None) -> Model:
     return model
 
 
-def _means(marks: Landmarks, names: list[str], blocks: list[tuple[int, int]], owned: list[np.ndarray], times: list[np.ndarray], length: list[int]) -> np.ndarray:
-    """The mean kernel values of each document's words, block by block of words, so that those of all words are never held at once."""
+def _means(values: np.ndarray, blocks: list[tuple[int, int]], owned: list[np.ndarray], times: list[np.ndarray], length: list[int]) -> np.ndarray:
+    """The mean kernel values of each document's words, some words at a time."""
     doc = np.repeat(np.arange(len(owned)), [len(o) for o in owned])
     word, n = np.concatenate([np.zeros(0, np.int64), *owned]), np.concatenate([np.zeros(0), *times])
     order = np.argsort(word, kind="stable")
     doc, word, n = doc[order], word[order], n[order]
-    out = np.zeros((len(owned), len(marks.units)))
+    out = np.zeros((len(owned), values.shape[1]))
     for lo, hi in blocks:
         a, b = np.searchsorted(word, [lo, hi])
-        values = marks.kernel(names[lo:hi])
         for i in range(a, b, 65_536):
             j = min(i + 65_536, b)
             by = np.argsort(doc[i:j], kind="stable")
             d = doc[i:j][by]
             first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            out[d[first]] += np.add.reduceat(values[word[i:j][by] - lo] * n[i:j][by][:, None], first, axis=0)
+            out[d[first]] += np.add.reduceat(values[word[i:j][by]].astype(np.float32) * n[i:j][by][:, None], first, axis=0)
     return out / (np.array(length)[:, None] + PRIOR)
 
 
