@@ -249,40 +249,38 @@ def _pieces(word: str) -> set[str]:
     return {word[i : i + n] for n in LENGTHS for i in range(len(word) - n + 1)}
 
 
-def choose_landmarks(docs: list[Counter], y: np.ndarray) -> list[str]:
+def choose_landmarks(names: list[str], owned: list[np.ndarray], times: list[np.ndarray], y: np.ndarray) -> list[str]:
     """Pieces of words that mark toxic documents, each chosen for the most documents that lack COVER of them yet; then the clean words most like them.
 
-    Documents are given as the counts of their words. A piece marks toxic documents if it is twenty times as frequent there.
+    Documents are given as the numbers of their words among the names, and how often each stands there. A piece marks toxic documents if it is twenty times as frequent there.
     """
-    clean: Counter = Counter()
-    rare: Counter = Counter()
-    for d, label in zip(docs, y, strict=True):
-        (clean if label < 0 else rare).update(d)
     n_pos, n_neg = int((y > 0).sum()), int((y < 0).sum())
-    toxic = [d for d, label in zip(docs, y, strict=True) if label > 0]
+    clean, rare = (_tally(owned, times, y, sign, len(names)) for sign in (-1, 1))
     least = max(2, 0.01 * n_pos)
     # Most pieces are in a document or two: sets are kept only for those that may be in enough, by counts of hashes, which are never too small.
     bins = np.zeros(1 << 20, np.int64)
-    for w, n in rare.items():
-        for g in _pieces(w):
-            bins[hash(g) % len(bins)] += n
-    enough = {w: some for w in rare if (some := [g for g in _pieces(w) if bins[hash(g) % len(bins)] >= least])}
+    for w in np.flatnonzero(rare).tolist():
+        for g in _pieces(names[w]):
+            bins[hash(g) % len(bins)] += rare[w]
+    enough = {w: some for w in np.flatnonzero(rare).tolist() if (some := [g for g in _pieces(names[w]) if bins[hash(g) % len(bins)] >= least])}
     holders: dict[str, set[int]] = {}
     often: Counter = Counter()
-    for i, d in enumerate(toxic):
-        for w, n in d.items():
+    toxic = np.flatnonzero(y > 0).tolist()
+    for i in toxic:
+        for w, n in zip(owned[i].tolist(), times[i].tolist(), strict=True):
             for g in enough.get(w, ()):
                 holders.setdefault(g, set()).add(i)
                 often[g] += n
+    del enough
     holders = {g: h for g, h in holders.items() if len(h) >= least}
     against: Counter = Counter()
-    for w, n in clean.items():
-        for g in _pieces(w):
+    for w in np.flatnonzero(clean).tolist():
+        for g in _pieces(names[w]):
             if g in holders:
-                against[g] += n
+                against[g] += int(clean[w])
     ratio = {g: np.log(often[g] / n_pos) - np.log((against[g] + 0.1) / n_neg) for g in holders}
     open_ = {g: h for g, h in holders.items() if ratio[g] > 3}
-    lacks, chosen = Counter({i: COVER for i in range(len(toxic))}), []
+    lacks, chosen = Counter(dict.fromkeys(toxic, COVER)), []
     heap = [(-len(h), -len(g), g) for g, h in open_.items()]
     heapq.heapify(heap)
     while heap and len(chosen) < TOXIC_LANDMARKS:
@@ -295,12 +293,19 @@ def choose_landmarks(docs: list[Counter], y: np.ndarray) -> list[str]:
         chosen.append(g)
         lacks.subtract(i for i in open_[g] if lacks[i] > 0)
     if not chosen:
-        chosen = sorted({w for d in toxic for w in d} or {BEGIN + "none"}, key=lambda w: (clean[w], w))[:8]
-    marks = Landmarks(chosen)
-    names = sorted(clean)
-    near = _closeness(marks, names)
-    like = np.lexsort((np.arange(len(names)), -near))[:CLEAN_LANDMARKS]
-    return list(dict.fromkeys([*chosen, *(names[i] for i in like)]))
+        chosen = [names[w] for w in sorted(np.flatnonzero(rare).tolist(), key=lambda w: (clean[w], names[w]))[:8]] or [BEGIN + "none"]
+    near = np.where(clean > 0, _closeness(Landmarks(chosen), names), -1)
+    like = sorted(np.argsort(-near, kind="stable")[: 4 * CLEAN_LANDMARKS].tolist(), key=lambda w: (-near[w], names[w]))[:CLEAN_LANDMARKS]
+    return list(dict.fromkeys([*chosen, *(names[w] for w in like if near[w] >= 0)]))
+
+
+def _tally(owned: list[np.ndarray], times: list[np.ndarray], y: np.ndarray, sign: int, n: int) -> np.ndarray:
+    """How often each word stands in the documents of a label."""
+    out = np.zeros(n, np.int64)
+    for o, t, label in zip(owned, times, y, strict=True):
+        if label == sign:
+            out[o] += t  # a document's words are distinct
+    return out
 
 
 def marked(units: list[str]) -> list[str]:
@@ -325,19 +330,18 @@ def fit(docs: list[str], toxic: list[int], share: float | None = None) -> Model:
     if not len(y) or abs(y.sum()) == len(y):
         share = (sum(1 for t in toxic if t) + 1) / (len(toxic) + 2)
         return Model(Landmarks([BEGIN + "none"]), np.zeros((1, 2), np.float32), 0.0, ((0.0, float(np.log(share / (1 - share)))),) * 2)
-    pool: dict[str, str] = {}  # equal words are one object
-    counts, length = [], []
+    number: dict[str, int] = {}
+    owned, times, length = [], [], []
     for t in docs:
         all_ = words(lower_ascii(t))
         length.append(len(all_))
-        counts.append(Counter(pool.setdefault(w, w) for w in marked(all_)))
-    marks = Landmarks(choose_landmarks(counts, y))
-    names = list(pool)
-    at = {w: i for i, w in enumerate(names)}
-    owned = [np.array([at[w] for w in d], np.int64) for d in counts]
-    times = [np.array(list(d.values()), float) for d in counts]
-    del counts, pool, at
-    in_clean = np.bincount(np.concatenate([o for o, label in zip(owned, y, strict=True) if label < 0]), minlength=len(names))
+        counts = Counter(marked(all_))
+        owned.append(np.array([number.setdefault(w, len(number)) for w in counts], np.int32))
+        times.append(np.array(list(counts.values()), np.int32))
+    names = list(number)
+    del number
+    marks = Landmarks(choose_landmarks(names, owned, times, y))
+    in_clean = _tally(owned, [np.ones(len(o), np.int64) for o in owned], y, -1, len(names))
     # Nyström: features K^-1/2 k(x).
     value, vector = np.linalg.eigh(marks.gram + 1e-2 * np.eye(len(marks.gram)))
     white = (vector / np.sqrt(value)) @ vector.T
@@ -377,8 +381,8 @@ def fit(docs: list[str], toxic: list[int], share: float | None = None) -> Model:
 
 def _means(values: np.ndarray, blocks: list[tuple[int, int]], owned: list[np.ndarray], times: list[np.ndarray], length: list[int]) -> np.ndarray:
     """The mean kernel values of each document's words, some words at a time."""
-    doc = np.repeat(np.arange(len(owned)), [len(o) for o in owned])
-    word, n = np.concatenate([np.zeros(0, np.int64), *owned]), np.concatenate([np.zeros(0), *times])
+    doc = np.repeat(np.arange(len(owned), dtype=np.int32), [len(o) for o in owned])
+    word, n = np.concatenate([np.zeros(0, np.int32), *owned]), np.concatenate([np.zeros(0, np.int32), *times])
     order = np.argsort(word, kind="stable")
     doc, word, n = doc[order], word[order], n[order]
     out = np.zeros((len(owned), values.shape[1]))
