@@ -6,8 +6,8 @@ that of LETTERS letters, to the power DEGREE: an intersection kernel, scaled, to
 lower it, and letters may stand between those of an insult; characters that aren't letters or digits inside a word are taken out first, and single letters in a row
 make up one word. The begin of a word counts as a letter. Landmarks are pieces of words which toxic documents share, and the clean words that resemble them most; a word's kernel values with them, times the
 inverse root of their kernel matrix, are its Nyström features. Two linear support vector machines are trained on them. One takes sentences, which have the margin of their
-highest word: all sentences of clean documents are negative, and of a toxic document the highest one is positive, which is found anew in each round; positive words are also
-given with letters put between theirs. It finds words that are insults wherever they stand. The other takes the mean features of all words of a document: it finds words
+highest word: all sentences of clean documents are negative; of a toxic document those are positive that have a word which tells toxic documents (twenty times as frequent
+there), or, if it has none, its highest one, which is found anew in each round. Positive words are also given with letters put between theirs. It finds words that are insults wherever they stand. The other takes the mean features of all words of a document: it finds words
 that clean documents have too, but less often. A logistic turns each margin, the highest of a text's sentences and that of its mean, into a probability at the shares that
 the labels have, and the higher one is the score.
 """
@@ -15,6 +15,7 @@ the labels have, and the higher one is the score.
 from __future__ import annotations
 
 import heapq
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -77,10 +78,15 @@ def words(sentence: str) -> list[str]:
 _SPACED = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 
 
+def weight(skipped: int) -> float:
+    """Of a subsequence that skips so many letters."""
+    return DECAY**skipped
+
+
 def _size(letters: int) -> float:
     """The root of the weight of all subsequences of so many letters, LETTERS at most."""
     n = min(max(letters, 3), LETTERS)
-    return sum((n - j) * DECAY ** (j - 2) for i, j in _TRIPLES if j < n) ** 0.5
+    return sum((n - j) * weight(j - 2) for i, j in _TRIPLES if j < n) ** 0.5
 
 
 _SIZES = [_size(n) for n in range(LETTERS + 1)]
@@ -128,7 +134,7 @@ class Landmarks:
         n = len(row) - SPAN + 1
         first, second = row * (self.base * self.base), row * self.base
         for i, j in _TRIPLES:
-            yield first[:n] + second[i : i + n] + row[j : j + n], owner[:n], DECAY ** (j - 2)
+            yield first[:n] + second[i : i + n] + row[j : j + n], owner[:n], weight(j - 2)
 
     def _shared(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, the subsequences of landmarks that they have, and the highest weight of each there."""
@@ -292,6 +298,9 @@ def choose_landmarks(names: list[str], owned: list[np.ndarray], times: list[np.n
             continue
         chosen.append(g)
         lacks.subtract(i for i in open_[g] if lacks[i] > 0)
+    for w in telling(clean, rare, least, n_pos, n_neg):  # each word that tells toxic documents has a landmark of its own
+        if len(chosen) < TOXIC_LANDMARKS and not any(g in names[w] for g in chosen) and (own := _pieces(names[w]) & open_.keys()):
+            chosen.append(max(own, key=lambda g: (len(open_[g]), len(g), g)))
     if not chosen:
         chosen = [names[w] for w in sorted(np.flatnonzero(rare).tolist(), key=lambda w: (clean[w], names[w]))[:8]] or [BEGIN + "none"]
     near = np.where(clean > 0, _closeness(Landmarks(chosen), names), -1)
@@ -299,6 +308,12 @@ def choose_landmarks(names: list[str], owned: list[np.ndarray], times: list[np.n
     return list(dict.fromkeys([*chosen, *(names[w] for w in like if near[w] >= 0)]))
 
 
+def telling(clean: np.ndarray, toxic: np.ndarray, least: float, n_pos: int, n_neg: int) -> list[int]:
+    """Words that enough toxic documents have, and that are twenty times as frequent there; the most frequent first."""
+    some = np.flatnonzero((toxic >= least) & (toxic / n_pos > 20 * (clean + 0.1) / n_neg))
+    return some[np.argsort(-toxic[some], kind="stable")].tolist()
+
+
 def _tally(owned: list[np.ndarray], times: list[np.ndarray], y: np.ndarray, sign: int, n: int) -> np.ndarray:
     """How often each word stands in the documents of a label."""
     out = np.zeros(n, np.int64)
@@ -341,7 +356,11 @@ def fit(docs: list[str], toxic: list[int], share: float | None = None) -> Model:
     names = list(number)
     del number
     marks = Landmarks(choose_landmarks(names, owned, times, y))
-    in_clean = _tally(owned, [np.ones(len(o), np.int64) for o in owned], y, -1, len(names))
+    once = [np.ones(len(o), np.int64) for o in owned]
+    in_clean, in_toxic = (_tally(owned, once, y, sign, len(names)) for sign in (-1, 1))
+    n_pos, n_neg = int((y > 0).sum()), int((y < 0).sum())
+    told = {w: int(in_toxic[w]) for w in telling(in_clean, in_toxic, max(2, 0.01 * n_pos), n_pos, n_neg)}
+    silent = [o for o, label in zip(owned, y, strict=True) if label > 0 and len(o) and not any(w in told for w in o.tolist())]
     # Nyström: features K^-1/2 k(x).
     value, vector = np.linalg.eigh(marks.gram + 1e-2 * np.eye(len(marks.gram)))
     white = (vector / np.sqrt(value)) @ vector.T
@@ -359,7 +378,7 @@ def fit(docs: list[str], toxic: list[int], share: float | None = None) -> Model:
     working: set[int] = set()
     model = Model(marks, np.zeros((len(marks.units), 2), np.float32), 0.0, ((1.0, 0.0),) * 2)
     for _ in range(ROUNDS):
-        tops = Counter(int(o[np.argmax(score[o])]) for o, label in zip(owned, y, strict=True) if label > 0 and len(o))
+        tops = Counter(int(o[np.argmax(score[o])]) for o in silent) + Counter(told)
         wrong = np.flatnonzero((in_clean > 0) & (score > -1))
         working.update(wrong[np.lexsort((wrong, -score[wrong]))][:WORKING].tolist())
         positive, negative = sorted(tops), sorted(working)
@@ -397,18 +416,18 @@ def _means(values: np.ndarray, blocks: list[tuple[int, int]], owned: list[np.nda
     return out / (np.array(length)[:, None] + PRIOR)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_DOCS) -> list[tuple[str, int]]:
-    """At most `most` labelled texts of each label, those of smallest hash of the key, up to MOST_BYTES of each label.
+def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_DOCS) -> DataFrame | None:
+    """_key, _text, _label of at most `most` labelled texts of each label, those of smallest hash of the key, up to MOST_BYTES of each label; null if there are none.
 
-    A document with several labels is toxic if one says so; null labels and keys are none. Of rows with one key the shortest text stands for all. Only keys of the sample go
-    to the documents, and a row for each of them, then the chosen texts, come to the driver.
+    A document with several labels is toxic if one says so; null labels and keys are none. Of rows with one key the shortest text stands for all. Only keys of the sample, and their
+    sizes, come to the driver.
     """
     one = labels.filter(col(label).isNotNull() & col(key).isNotNull()).groupBy(col(key).alias("_key")).agg(F.max(col(label)).alias("_label"))
     ids = []
     for value in (0, 1):
         ids += [(r[0], value) for r in one.filter((F.col("_label") > 0) == bool(value)).orderBy(F.xxhash64("_key"), "_key").limit(most).collect()]
     if not ids:
-        return []
+        return None
     sample = docs.sparkSession.createDataFrame(ids, T.StructType([T.StructField("_key", labels.schema[key].dataType), T.StructField("_label", T.IntegerType())]))
     found = docs.select(col(key).alias("_key"), F.coalesce(col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), "_key")
     which = F.struct(F.octet_length("_text").alias("n"), F.xxhash64("_text").alias("x"))
@@ -419,19 +438,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             used[r._label] += r.one.n
             chosen.append((r._key, r.one.n, r.one.x))
     if not chosen:
-        return []
+        return None
     wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("_key", labels.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("x", T.LongType())]))
     same = (F.octet_length("_text") == F.col("n")) & (F.xxhash64("_text") == F.col("x"))
-    rows = found.join(F.broadcast(wanted), "_key").filter(same).groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
-    return [(t, y) for _, t, y in sorted(((r._key, r._text, r._label) for r in rows.toLocalIterator()), key=lambda r: (str(r[0]), r[1]))]
+    return found.join(F.broadcast(wanted), "_key").filter(same).groupBy(F.col("_key").cast("string").alias("_key"), "_label").agg(F.min("_text").alias("_text")).select("_key", "_text", "_label")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_DOCS) -> list[tuple[str, int]]:
+    """Texts and labels of the sample, in order of their keys."""
+    sample = training_sample(docs, labels, key, text, label, most)
+    return [] if sample is None else [(t, y) for _, t, y in sorted(tuple(r) for r in sample.collect())]
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_DOCS) -> Model:
-    """A model of the labelled documents. Nothing but the texts goes into it; the caller chooses the labels to learn from."""
-    rows = training_rows(docs, labels, key, text, label, most)
+    """A model of the labelled documents. Nothing but the texts goes into it; the caller chooses the labels to learn from.
+
+    One task fits it on the sample, whose size is bounded; the driver gets the model alone. A lost executor costs another fit.
+    """
+    small_batches(docs.sparkSession)
+    sample = training_sample(docs, labels, key, text, label, most)
+    if sample is None:
+        return fit([], [])
     of = labels.filter(col(label).isNotNull() & col(key).isNotNull()).groupBy(col(key)).agg(F.max(col(label)).alias("_label"))
     share = of.agg(F.avg((F.col("_label") > 0).cast("double"))).first()[0]
-    return fit([t for t, _ in rows], [y for _, y in rows], share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in rows], [y for _, _, y in rows], share))], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first().model)
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
