@@ -13,7 +13,7 @@ def test_corpus(spark, tmp_path):
     (tmp_path / "in/info/records.jsonl").write_text("\n".join(map(json.dumps, rows)))
     out = str(tmp_path / "out")
     stats = corpus.build(spark, str(tmp_path / "in"), out).collect()
-    assert [(r.source, r.documents, r.passages) for r in stats] == [("info/news", 3, 9)]
+    assert [(r.source, r.documents, r.passages) for r in sorted(stats)] == [("info/news", 3, 9), ("total", 3, 9)]
     assert not corpus.is_complete(spark, out)
     corpus.build_index(spark, out)
     assert corpus.is_complete(spark, out)
